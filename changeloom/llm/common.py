@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task hashes at a time; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 19
@@ -26,7 +27,7 @@ _LOWER[65:91] += 32
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BYTE = np.random.default_rng(20240101).integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 
@@ -45,6 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def one_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text`` with each id once: rows without an id go, and of rows that repeat an id the text that sorts last stays.
+
+    Only the ids are read to see whether any repeats; texts are grouped only if one does.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs
+    return docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 

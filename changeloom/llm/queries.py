@@ -15,6 +15,19 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changeloom.llm.substring import digest
+    from changeloom.llm.suffix import remove_repeated_bytes
+
+    return digest(remove_repeated_bytes(table(spark, sf_dir, "documents")))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changeloom.llm.substring import digest, remove_repeats
+
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op")]
     return {f.__name__: f for f in found}
