@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from changeloom.llm.common import table
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from changeloom.llm.packing import pack, pieces
+
+    return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from changeloom.llm.minhash import near_duplicates
 
