@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from changeloom.llm.common import table
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changeloom.llm.quality import fit, judge_documents
+
+    documents = table(spark, sf_dir, "documents")
+    return judge_documents(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +45,13 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeated_bytes(table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changeloom.llm.toxicity import fit, score_documents
+
+    documents = table(spark, sf_dir, "documents")
+    return score_documents(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from changeloom.llm.substring import digest, remove_repeats
 
