@@ -1,4 +1,78 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, personal data, packing.
 
-STAGES = []
+Each stage works on what the one before kept, written as Parquet and read again. All but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from changeloom.llm.common import shared_folder, table
+from changeloom.llm.minhash import near_duplicates
+from changeloom.llm.packing import pack, pieces
+from changeloom.llm.pii import replace_entities
+from changeloom.llm.quality import fit, keep_good
+from changeloom.llm.queries import KEY
+from changeloom.llm.substring import remove_repeats
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the isolation forest keep."""
+    return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near duplicates: five-word shingles of similarity 0.8 or more."""
+    found = near_duplicates(docs, words=5, percent=80)
+    gone = found.where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words that a window of 20 words, found earlier, covers; ``n_chars`` follows the text."""
+    kept = remove_repeats(docs, spaced=True).where("n_removed > 0").select("doc_id", F.decode("kept", "UTF-8").alias("new"))
+    text = F.coalesce("new", "text")
+    return docs.join(kept, "doc_id", "left").withColumns({"text": text, "n_chars": F.when(F.col("new").isNull(), F.col("n_chars")).otherwise(F.length("new")).cast("long")}).select(docs.columns)
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data; ``n_chars`` follows the text."""
+    found = replace_entities(docs, KEY)
+    return found.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the texts with their places in sequences of 4096 tokens."""
+    return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("personal data", pii_surrogates),
+    ("packing", best_fit_packing),
+]
+
+#: SQL cannot express the stages; they are tested against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{shared_folder(spark)}/changeloom/{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
