@@ -86,6 +86,17 @@ def _contexts(parts: Iterator[pa.RecordBatch], window: int, schema: str) -> Iter
         yield rows(schema, packed.field("anchor"), ids[text], at, packed.field("inner"), [whole[b : b + c + window - 1] for b, c in zip(begin.tolist(), count.tolist(), strict=True)])
 
 
+def _united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same numbers in as few ranges as hold them."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(set(ranges)):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _search(least: int) -> Callable[[pa.Table], pa.Table]:
     def search(part: pa.Table) -> pa.Table:
         part = part.sort_by("anchor")
@@ -95,11 +106,15 @@ def _search(least: int) -> Callable[[pa.Table], pa.Table]:
         for group in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(anchor)) + 1):
             members = group.tolist()
             lefts, rights = [texts[m][: inner[m]][::-1] for m in members], [texts[m][inner[m] :] for m in members]
+            held: dict[int, list[tuple[int, int]]] = {}
             for back, on, some in maximal_repeats(lefts, rights, least):
                 for m in some:
+                    held.setdefault(m, []).append((int(inner[members[m]]) - back, int(inner[members[m]]) + on - least))
+            for m, found in held.items():
+                for lo, hi in _united(found):
                     doc.append(ids[members[m]])
-                    begin.append(at[members[m]] + inner[members[m]] - back)
-                    count.append(back + on - least + 1)
+                    begin.append(at[members[m]] + lo)
+                    count.append(hi - lo + 1)
         return pa.Table.from_batches([rows("doc_id long, at long, count int", doc, begin, count)])
 
     return search
