@@ -46,11 +46,11 @@ def _scan(parts: Iterator[pa.RecordBatch], unit: str, window: int, run: int) ->
 def occurrences(docs: DataFrame, unit: str, window: int, run: int) -> DataFrame:
     """Spans whose anchor occurs more than once: ``anchor, content, doc_id, at, count, inner``, written to the shared folder.
 
-    The others cannot hold a repeated window. Counts are combined before their shuffle, and the
-    join only ever multiplies nothing: its right side has an anchor once.
+    The others cannot hold a repeated window. Counts are combined before their shuffle. They are a table of their own, so that
+    adaptive execution can split an anchor that very many texts have; the join's right side has each anchor once.
     """
     found = docs.select("doc_id", "text").mapInArrow(partial(_scan, unit=unit, window=window, run=run), _OCCURRENCE)
-    shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    shared = materialize(found.groupBy("anchor").count().where("count > 1").select("anchor"))
     return materialize(found.join(shared, "anchor", "left_semi"))
 
 
