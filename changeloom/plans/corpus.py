@@ -7,8 +7,6 @@ shortens or keeps it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,12 +101,6 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def checkpointing(self) -> None:
-        """A checkpoint folder where the cluster names none."""
-        context = self.spark.sparkContext
-        if not (self.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-            context.setCheckpointDir(f"/tmp/spark-{uuid.uuid4().hex[:12]}")
-
     def sql(self, select: str) -> DataFrame:
         """A SELECT over the common table expressions."""
         text = f"with {with_truth('orders_', 'lineitem_')} {select}".replace("{", "{{").replace("}", "}}")

@@ -13,6 +13,7 @@ from changeloom.operators.hunks import parse_hunks
 from changeloom.operators.ranges import FILE
 from changeloom.operators.units import split_units
 from changeloom.sources.store import file_contexts
+from changeloom.sources.tables import settle
 
 
 @dataclass
@@ -28,22 +29,23 @@ class Tour:
 
 @dataclass
 class Sources:
-    """What is read from the texts of one side, once; used by several joins, so it is kept."""
+    """What is read from the texts of one side, once, and written, since several joins use it."""
 
     definitions: DataFrame
     calls: DataFrame
     variables: DataFrame
+    script_globals: DataFrame
     lines: DataFrame
 
 
 def read_sources(snapshots: DataFrame) -> Sources:
-    rows = source.analyze(snapshots).persist()
+    rows = settle(source.analyze(snapshots))
     variables = rows.where("what in ('variable', 'global')").select(*FILE, "name", "start_line", "end_line")
-    return Sources(source.definitions(rows), source.calls(rows), variables, source.source_lines(snapshots))
+    return Sources(source.definitions(rows), source.calls(rows), variables, source.script_globals(rows), settle(source.source_lines(snapshots)))
 
 
 def change_units(diffs: DataFrame, revised: DataFrame, root: str = "/work/repo") -> DataFrame:
-    hunks = parse_hunks(diffs, root).persist()
+    hunks = settle(parse_hunks(diffs, root))
     s = read_sources(revised)
     return split_units(hunks, s.definitions, s.variables, s.lines)
 
@@ -51,19 +53,19 @@ def change_units(diffs: DataFrame, revised: DataFrame, root: str = "/work/repo")
 def order(units: DataFrame, calls: DataFrame) -> DataFrame:
     """Main steps with ``graph_rank`` and ``position``."""
     names = graph.related_names(units, calls)
-    placed = graph.order_units(units, graph.ordering_edges(units, names))
+    placed = settle(graph.order_units(units, graph.ordering_edges(units, names)))
     ranked = steps.main_steps(units).join(graph.graph_rank(units, placed), ["change_id", "file_path", "unit_seq"])
     return steps.globals_first(ranked)
 
 
 def diff_tour(diffs: DataFrame, head: DataFrame, revised: DataFrame, root: str = "/work/repo") -> Tour:
     """Units grouped, ordered so that what is needed comes first, with the existing code they need before them."""
-    hunks = parse_hunks(diffs, root).persist()
+    hunks = settle(parse_hunks(diffs, root))
     new, old = read_sources(revised), read_sources(head)
-    units = steps.proximity_groups(split_units(hunks, new.definitions, new.variables, new.lines)).persist()
-    calls = background.unit_calls(units, new.calls)
-    regions = background.background_regions(units, new.calls, old.definitions, file_contexts(head, revised).select(*FILE))
-    main = order(units, calls)
+    units = settle(steps.proximity_groups(split_units(hunks, new.definitions, new.variables, new.lines)))
+    calls = settle(background.unit_calls(units, new.calls))
+    regions = settle(background.background_regions(units, new.calls, old.definitions, file_contexts(head, revised).select(*FILE)))
+    main = settle(order(units, calls))
     used = regions.join(main.select("change_id", "unit_seq", "step_no", "step_id"), ["change_id", "unit_seq"])
     bg, deps = steps.background_steps(used)
     bg = steps.order_background(bg)
@@ -73,9 +75,8 @@ def diff_tour(diffs: DataFrame, head: DataFrame, revised: DataFrame, root: str =
 def repository_index(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Index units and what they use, from all source texts."""
     s = read_sources(snapshots)
-    rows = source.analyze(snapshots)
-    found = source.python_globals(snapshots).unionByName(source.script_globals(rows))
-    index = overall.index_units(s.definitions, found)
+    found = source.python_globals(snapshots).unionByName(s.script_globals)
+    index = settle(overall.index_units(s.definitions, found))
     return index, overall.index_calls(index, s.calls, s.lines)
 
 

@@ -335,7 +335,6 @@ def method_classes(c: Corpus) -> DataFrame:
   select change_id, a as node_id, min(b) as "group" from reach group by 1, 2""")
 def connected_groups(c: Corpus) -> DataFrame:
     """Connected groups of the dependency graph of each change set."""
-    c.checkpointing()
     return graph.connected_groups(_tour_edges(c))
 
 
@@ -456,4 +455,4 @@ def explanation_requests(c: Corpus) -> DataFrame:
 @query()
 def debug_reports(c: Corpus) -> DataFrame:
     units = _units(c)
-    return background.debug_report(units, background.unit_calls(units, c.calls()).where(F.lit(True)), background.background_regions(units, c.calls(), c.definitions(), c.definitions()))
+    return background.debug_report(units, background.unit_calls(units, c.calls()), background.background_regions(units, c.calls(), c.definitions(), c.definitions()))
