@@ -119,3 +119,47 @@ def test_sources(spark, tmp_path):
     (tmp_path / "diffs" / "7.diff").write_text(HEAD + "@@ -1 +1 @@\n+a")
     (tmp_path / "diffs" / "8.diff").write_text(" \n")
     assert [r.change_id for r in store.read_diffs(spark, str(tmp_path / "diffs")).collect()] == [7]
+
+
+def test_called_definition_tiers(spark):
+    from changeloom.operators.background import called_definitions
+
+    calls = spark.createDataFrame([(1, "a", 1, 1, "run", "app.run")], "change_id long, file_path string, unit_seq int, call_seq int, name string, qualified_name string")
+    defs = spark.createDataFrame([(1, "a", 1, "run", "run", "function", 1, 2), (1, "a", 2, "run", "X.run", "method", 4, 5)], DEF)
+    assert [r.qualified_name for r in called_definitions(calls, defs).collect()] == ["run"]
+    assert [r.qualified_name for r in called_definitions(calls, defs.where("def_seq = 2")).collect()] == ["X.run"]
+
+
+def test_changes_applied_in_order():
+    from changeloom.operators.overall import _apply_file
+
+    units = [[1, False, "f", 1, 10, "function", None, None]]
+    changes = [
+        ("f", 2, 4, "definition", "function", "a"),
+        (None, 3, 3, "operation", None, "b"),
+        ("g", 20, 25, "definition", "function", "c"),
+        (None, 22, 22, "operation", None, "d"),
+        (None, 99, 99, "operation", None, "lost"),
+        ("f", 5, 5, "global", "global", "e"),
+    ]
+    assert _apply_file(units, changes) == [[1, False, "f", 1, 10, "global", "operation", "a\nb\ne"], [2, True, "g", 20, 25, "function", "operation", "c\nd"]]
+
+
+def test_explainer_gets_batches(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "unit_seq int, request string")
+    assert {r.explanation for r in store.explain(df, lambda s: s.str.upper()).collect()} == {"X", "Y"}
+    assert {r.explanation for r in store.explain(df).collect()} == {store.PLACEHOLDER}
+
+
+def test_visibility(spark):
+    nodes = spark.createDataFrame([(1, "a", "global", True), (1, "b", "function", False)], "change_id long, node_id string, element_kind string, is_overall boolean")
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "b")], "change_id long, from_id string, to_id string")
+    kept, left = graph.global_visibility(nodes, edges, False)
+    assert [r.node_id for r in kept.collect()] == ["b"] and [(r.from_id, r.to_id) for r in left.collect()] == [("b", "b")]
+    assert {r.node_id: r.hidden for r in graph.overall_visibility(nodes, True).collect()} == {"a": False, "b": True}
+
+
+def test_connected_groups(spark):
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "c", "b"), (1, "x", "y"), (2, "a", "z")], "change_id long, from_id string, to_id string")
+    got = {(r.change_id, r.node_id): r.group for r in graph.connected_groups(edges).collect()}
+    assert got == {(1, "a"): "a", (1, "b"): "a", (1, "c"): "a", (1, "x"): "x", (1, "y"): "x", (2, "a"): "a", (2, "z"): "a"}
