@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import rows
+from changeloom.llm.common import rows, without_cycles
 
 _U = np.uint64
 #: Words whose ids a Python worker keeps between batches.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 #: Cells of a matrix of words; longer words than LONG are merged one at a time with a heap.
 CELLS, LONG = 1 << 18, 2048
 _NONE = np.int32(0x7FFFFFFF)
@@ -62,60 +63,72 @@ class Pairs:
         hit = self.keys[at] == keys
         return np.where(hit, self.rank[at], _NONE), self.merged[at]
 
-    def merge_all(self, words: list[np.ndarray]) -> list[np.ndarray]:
-        """Each word's symbols after all merges.
+    def merge_all(self, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words one after another and their lengths, after all merges.
 
         Words of like length are rows of a padded matrix. Each round merges, in every row, the
         leftmost pair of least rank, looks up the two pairs beside it, closes the gap, and
         drops the rows that have no pair left.
         """
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        length = np.array([len(w) for w in words], np.int64)
+        start = np.cumsum(length) - length
+        out, size = symbols.copy(), length.copy()
         order = np.argsort(length, kind="stable")
-        k = 0
+        ordered = length[order]
+        k = int(np.searchsorted(ordered, 1, "right"))
         while k < len(order):
-            longest = int(length[order[k]])
+            longest = int(ordered[k])
             if longest > LONG:
-                out[order[k]] = self._one(words[order[k]])
+                w = order[k]
+                ids = self._one(symbols[start[w] : start[w] + longest])
+                out[start[w] : start[w] + len(ids)], size[w] = ids, len(ids)
                 k += 1
                 continue
-            width = longest + max(1, longest // 4)
-            stop = min(int(np.searchsorted(length[order], width, "right")), k + max(1, CELLS // max(width, 1)))
-            self._bucket(order[k:stop], words, length, out)
+            width = longest + longest // 4
+            stop = min(int(np.searchsorted(ordered, width, "right")), k + max(1, CELLS // width))
+            self._bucket(symbols, start, order[k:stop], out, size)
             k = stop
-        return out
+        place = np.arange(len(symbols)) - np.repeat(start, length)
+        return out[place < np.repeat(size, length)], size
 
-    def _bucket(self, which: np.ndarray, words: list[np.ndarray], length: np.ndarray, out: list[np.ndarray]) -> None:
-        n, width = len(which), max(int(length[which].max()), 1)
-        ids = np.full((n, width + 1), -1, np.int32)
-        flat = np.concatenate([words[w] for w in which]) if n else np.zeros(0, np.int32)
-        ids[:, :width][np.arange(width)[None, :] < length[which][:, None]] = flat
-        row, size = which, length[which].copy()
-        rank, merged = self.look_up(ids[:, :-1].ravel(), ids[:, 1:].ravel())
-        rank, merged = rank.reshape(n, width), merged.reshape(n, width)
+    def _bucket(self, symbols: np.ndarray, start: np.ndarray, row: np.ndarray, out: np.ndarray, length: np.ndarray) -> None:
+        size = length[row]
+        width = int(size.max())
         columns = np.arange(width + 1)
+        inside = columns[None, :] < size[:, None]
+        ids = np.full((len(row), width + 1), -1, np.int32)
+        ids[inside] = symbols[(start[row][:, None] + columns[None, :])[inside]]
+        rank, merged = self.look_up(ids[:, :-1].ravel(), ids[:, 1:].ravel())
+        rank, merged = rank.reshape(len(row), width), merged.reshape(len(row), width)
         while len(row):
-            best = rank.argmin(axis=1)
             at = np.arange(len(row))
+            best = rank.argmin(axis=1)
             more = rank[at, best] != _NONE
-            for r in np.flatnonzero(~more):
-                out[row[r]] = ids[r, : size[r]].copy()
             if not more.all():
+                done = ~more
+                inside = columns[None, : ids.shape[1]] < size[done][:, None]
+                out[(start[row[done]][:, None] + columns[None, : ids.shape[1]])[inside]] = ids[done][inside]
+                length[row[done]] = size[done]
                 row, size, ids, rank, merged, best = row[more], size[more], ids[more], rank[more], merged[more], best[more]
+                if not len(row):
+                    return
                 at = np.arange(len(row))
-            if not len(row):
-                return
             ids[at, best] = merged[at, best]
             w = int(size.max())
-            shift = np.minimum(columns[None, :w] + (columns[None, :w] > best[:, None]), ids.shape[1] - 1)
-            ids = np.concatenate([np.take_along_axis(ids, shift, 1), np.full((len(row), 1), -1, np.int32)], axis=1)
-            pair = np.minimum(shift, rank.shape[1] - 1)
-            rank, merged = np.take_along_axis(rank, pair, 1), np.take_along_axis(merged, pair, 1)
+            keep = np.ones((len(row), w + 1), bool)
+            keep[at, best + 1] = False
+            ids = ids[:, : w + 1][keep].reshape(len(row), w)
+            rank, merged = rank[:, :w], merged[:, :w]
+            keep = keep[:, 1:]
+            rank, merged = rank[keep].reshape(len(row), w - 1), merged[keep].reshape(len(row), w - 1)
             size -= 1
             before = np.maximum(best - 1, 0)
             left = np.where(best > 0, ids[at, before], -1)
-            rank[at, before], merged[at, before] = self.look_up(left, ids[at, best])
-            rank[at, best], merged[at, best] = self.look_up(ids[at, best], ids[at, best + 1])
+            here = ids[at, best]
+            pair_rank, pair = self.look_up(np.concatenate([left, here]), np.concatenate([here, ids[at, np.minimum(best + 1, w - 1)]]))
+            n = len(row)
+            last = best >= w - 1
+            rank[at[best > 0], before[best > 0]], merged[at[best > 0], before[best > 0]] = pair_rank[:n][best > 0], pair[:n][best > 0]
+            rank[at[~last], best[~last]], merged[at[~last], best[~last]] = pair_rank[n:][~last], pair[n:][~last]
 
     def _one(self, word: np.ndarray) -> np.ndarray:
         """The same merges for one very long word, with a heap of its pairs."""
@@ -147,7 +160,8 @@ class Pairs:
 class ByteBpe:
     """A vocabulary of byte strings whose ids are their merge ranks."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, digesting: bool = False):
+        self.digesting = digesting
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
@@ -161,43 +175,60 @@ class ByteBpe:
                     right.append(b)
                     rank.append(r)
         values = np.array(rank, np.int32)
+        self.decimal = [f" {i}" for i in range(len(self.tokens))]
         self.pairs = Pairs(np.array(left, np.int64), np.array(right, np.int64), values, values)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.ranks = ranks
         self.find = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
         self.odd = regex.compile(f"^[{WHITE}]|[{WHITE}]$").search
-        self.cache: dict[str, list[int] | None] = {}
+        self.cache: dict[str, list[int] | tuple[int, str, bytes] | None] = {}
+        self.start: dict[str, list[list[int]]] = {}  # first words of texts
+
+    def _split(self, piece: str) -> list[str] | None:
+        """The pattern's matches of a piece after one blank; None if white space at its ends ties it to what is around it."""
+        if piece.isalpha():
+            return [" " + piece]
+        if piece[:-1].isalpha() and piece[-1] in ".,":
+            return [" " + piece[:-1], piece[-1]]
+        return self.find(" " + piece) if piece and not self.odd(piece) else None
 
     def _learn(self, pieces: set[str]) -> None:
-        """Ids of pieces between two single blanks; such a piece with the blank before it is split like nothing around it."""
-        whole = [p for p in pieces if p and not self.odd(p)]
-        self.cache.update(dict.fromkeys(pieces - set(whole)))
-        split = [self.find(" " + p) for p in whole]
-        for p, ids in zip(whole, self._ids([w for words in split for w in words], [len(words) for words in split]), strict=True):
-            self.cache[p] = ids
-
-    def _ids(self, words: list[str], counts: list[int]) -> list[list[int]]:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        known = [self.ranks.get(w) for w in raw]
-        todo = [i for i, k in enumerate(known) if k is None]
-        merged = iter(self.pairs.merge_all([self.byte[np.frombuffer(raw[i], np.uint8)] for i in todo]))
-        out, at = [], 0
-        for n in counts:
-            ids: list[int] = []
-            for k in known[at : at + n]:
-                if k is None:
-                    ids += next(merged).tolist()
-                else:
-                    ids.append(k)
-            out.append(ids)
-            at += n
+        """Ids of pieces between two single blanks: such a piece with the blank before it is split by itself."""
+        split = [self._split(p) for p in pieces]
+        words = [w for some in split if some for w in some]
+        ids, keep = iter(self._ids(words)), self.told if self.digesting else list
+        for piece, some in zip(pieces, split, strict=True):
+            if some is None:
+                self.cache[piece] = None
+            elif len(some) == 1:
+                self.cache[piece] = keep(next(ids))
+            else:
+                self.cache[piece] = keep([i for _ in some for i in next(ids)])
+
+    def told(self, ids: list[int]) -> tuple[int, str, bytes]:
+        """How many ids, each in decimal after a blank, and the bytes that they decode to."""
+        return len(ids), "".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        raw = [w.encode("utf-8") for w in words]
+        known = list(map(self.ranks.get, raw))
+        todo = [w for w, k in zip(raw, known, strict=True) if k is None]
+        merged, size = self.pairs.merge_all(self.byte[np.frombuffer(b"".join(todo), np.uint8)], np.fromiter(map(len, todo), np.int64, len(todo)))
+        flat, at, out = merged.tolist(), 0, []
+        sizes = iter(size.tolist())
+        for k in known:
+            if k is None:
+                n = next(sizes)
+                out.append(flat[at : at + n])
+                at += n
+            else:
+                out.append([k])
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text."""
-        split = [t.split(" ") for t in texts]
+    def _pieces(self, texts: list[str]) -> Iterator[tuple[list[list[int]], list]]:
+        """Per text: ids of words before the first blank, and what is kept of each piece after one; where pieces depend on each other all ids are among the former."""
         for lo in range(0, len(texts), 256):
-            some = split[lo : lo + 256]
+            some = [t.split(" ") for t in texts[lo : lo + 256]]
             pieces = {p for words in some for p in words[1:]}
             if len(self.cache) + len(new := pieces - self.cache.keys()) > CACHE_WORDS:
                 self.cache.clear()
@@ -207,14 +238,25 @@ class ByteBpe:
             for text, words in zip(texts[lo : lo + 256], some, strict=True):
                 found = [get(p) for p in words[1:]]
                 if None in found or self.odd(words[0]):
-                    words = self.find(text)
-                    yield self._ids(words, [len(words)])[0]
+                    yield self._ids(self.find(text)), []
                     continue
-                words = self.find(words[0])
-                ids = self._ids(words, [len(words)])[0]
-                for more in found:
-                    ids += more
-                yield ids
+                begin = self.start.get(words[0])
+                if begin is None:
+                    begin = self._ids(self.find(words[0]))
+                    if len(words[0]) < 40 and len(self.start) < 50_000:
+                        self.start[words[0]] = begin
+                yield begin, found
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        for begin, found in self._pieces(texts):
+            yield list(chain(*begin, *found))
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
+        """Of each text: how many ids, the ids in decimal joined by one blank, and the bytes that they decode to."""
+        for begin, found in self._pieces(texts):
+            n, ids, raw = zip(self.told(list(chain(*begin))), *found, strict=True)
+            yield sum(n), "".join(ids)[1:], b"".join(raw)
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids."""
@@ -222,9 +264,9 @@ class ByteBpe:
 
 
 @lru_cache(2)
-def vocabulary(ranks_path: str, pattern: str) -> ByteBpe:
-    """One vocabulary per Python worker."""
-    return ByteBpe(ranks_path, pattern)
+def vocabulary(ranks_path: str, pattern: str, digesting: bool = False) -> ByteBpe:
+    """One vocabulary per Python worker; a digesting one keeps digests of words and not their ids."""
+    return ByteBpe(ranks_path, pattern, digesting)
 
 
 def _texts(part: pa.RecordBatch) -> list[str]:
@@ -234,7 +276,8 @@ def _texts(part: pa.RecordBatch) -> list[str]:
 def _encode(parts: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = vocabulary(path, pattern)
     for part in parts:
-        ids = pa.array(list(bpe.encode(_texts(part))), pa.list_(pa.int32()))
+        with without_cycles():
+            ids = pa.array(list(bpe.encode(_texts(part))), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
 
@@ -246,14 +289,14 @@ def _decode(parts: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterato
 
 
 def _round_trip(parts: Iterator[pa.RecordBatch], path: str, pattern: str, schema: str) -> Iterator[pa.RecordBatch]:
-    bpe = vocabulary(path, pattern)
-    decimal = [str(i) for i in range(len(bpe.tokens))]
+    bpe = vocabulary(path, pattern, True)
     for part in parts:
         n, ids_hash, text_hash = [], [], []
-        for ids in bpe.encode(_texts(part)):
-            n.append(len(ids))
-            ids_hash.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-            text_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+        with without_cycles():
+            for count, ids, raw in bpe.digests(_texts(part)):
+                n.append(count)
+                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
+                text_hash.append(hashlib.sha256(raw).hexdigest())
         yield rows(schema, part.column(0), n, ids_hash, text_hash)
 
 

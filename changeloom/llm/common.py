@@ -7,8 +7,10 @@ made for a word.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def without_cycles() -> Iterator[None]:
+    """Pause Python's search for reference cycles while a worker fills large caches that hold none."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column (null: empty) and where each text starts, with one more start at the end."""
     whole = pc.fill_null(column, "").cast(pa.large_binary())

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import batches, materialize, rows, text_bytes
+from changeloom.llm.common import batches, materialize, rows, text_bytes, without_cycles
 from changeloom.llm.wordbpe import vocabulary
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -29,7 +29,9 @@ def _cut(parts: Iterator[pa.RecordBatch], path: str, capacity: int, end: int, sc
             out = []
             own = data[starts[lo] : starts[hi]].tobytes()
             texts = [own[starts[i] - starts[lo] : starts[i + 1] - starts[lo]] for i in range(lo, hi)]
-            for i, raw in enumerate(bpe.encode(texts)):
+            with without_cycles():
+                encoded = bpe.encode(texts)
+            for i, raw in enumerate(encoded):
                 raw += last
                 for piece, k in enumerate(range(0, len(raw), 4 * capacity)):
                     some = raw[k : k + 4 * capacity]

@@ -52,28 +52,55 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
 
-    def _split(self, word: str) -> list[str]:
-        word = unicodedata.normalize("NFC", word)
-        word = word.lower() if "Σ" not in word else "".join(c.lower() for c in word)
-        return self.find(word)
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words. Those with characters newer than Unicode 3.2, whose classes depend on a library's age, are left to the tokenizers library."""
-        rare = [w for w in words if not w.isascii() and any(ucd_3_2_0.category(c) == "Cn" for c in w.decode("utf-8"))]
-        for w in rare:
-            self.cache[w] = np.array(self.library.encode(w.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of new words.
+
+        A word of letters before a full stop or comma is learnt once without it. Words with characters newer than Unicode 3.2, whose
+        classes depend on a library's age, are left to the tokenizers library.
+        """
+        marked = [w for w in words if w[-1:] in b".," and len(w) > 1 and w[:-1].decode("utf-8").isalpha()]
+        plain = list(((words - set(marked)) | {w[:-1] for w in marked} | {w[-1:] for w in marked}) - self.cache.keys())
+        text = b"\n".join(plain).decode("utf-8")
+        rare = {c for c in set(text) if c > "\x7f" and ucd_3_2_0.category(c) == "Cn"}
         if rare:
-            words = [w for w in words if w not in self.cache]
-        split = [self._split(w.decode("utf-8")) for w in words]
-        symbols = []
-        for part in (p for parts in split for p in parts):
-            raw = np.frombuffer(part.encode("utf-8"), np.uint8)
-            s = self.inner[raw]
-            s[-1] = self.last[raw[-1]]
-            symbols.append(s)
-        merged = iter(self.pairs.merge_all(symbols))
-        for word, parts in zip(words, split, strict=True):
-            self.cache[word] = b"".join(next(merged).astype("<u4").tobytes() for _ in parts)
+            for w in plain:
+                if not rare.isdisjoint(w.decode("utf-8")):
+                    self.cache[w] = np.array(self.library.encode(w.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+            plain = [w for w in plain if w not in self.cache]
+            text = b"\n".join(plain).decode("utf-8")
+        text = unicodedata.normalize("NFC", text)
+        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        parts, counts = [], []
+        for w in text.split("\n") if plain else []:
+            if w.isalpha():
+                parts.append(w)
+                counts.append(1)
+            else:
+                some = self.find(w)
+                parts += some
+                counts.append(len(some))
+        ids, ends = self._merged(parts)
+        at = part = 0
+        for w, n in zip(plain, counts, strict=True):
+            part += n
+            end = ends[part]
+            self.cache[w] = ids[at:end]
+            at = end
+        for w in marked:
+            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
+
+    def _merged(self, parts: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of all parts one after another, and where those of the first n parts end."""
+        if not parts:
+            return b"", [0]
+        whole = np.frombuffer("\n".join([*parts, ""]).encode("utf-8"), np.uint8)
+        brk = whole == 10
+        length = np.diff(np.flatnonzero(brk), prepend=-1) - 1
+        whole = whole[~brk]
+        symbols, last = self.inner[whole], np.cumsum(length) - 1
+        symbols[last] = self.last[whole[last]]
+        merged, size = self.pairs.merge_all(symbols, length)
+        return merged.astype("<u4").tobytes(), [0, *(np.cumsum(size) * 4).tolist()]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit numbers."""
@@ -82,7 +109,7 @@ class WordBpe:
         if len(self.cache) + len(new := words - self.cache.keys()) > CACHE_WORDS:
             self.cache.clear()
             new = words
-        self._learn(list(new))
+        self._learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, some)) for some in split]
 
