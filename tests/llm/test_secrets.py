@@ -61,3 +61,9 @@ def test_edges(spark):
     again = df.unionByName(df.where("doc_id = 6")).unionByName(spark.createDataFrame([(None, "token=abcdef", "", "")], SCHEMA))
     assert result(scan(again)) == got
     assert result(scan(df.limit(0))) == {}
+
+
+def test_many_documents_of_one_owner(spark):
+    live = "ghp_Q7w2E9r4T1y6U3i8O5p0A2s4D6f8"
+    got = result(scan(spark.createDataFrame([(k, f"see {live}", "a", "x") for k in range(25)], SCHEMA)))
+    assert {(r[4], r[5], r[6]) for r in got.values()} == {(f"live:4:{4 + len(live)}", 1, 0)}
