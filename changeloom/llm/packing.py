@@ -75,19 +75,29 @@ class _Stock:
 
     def exact(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
         """One, two or three lengths that fill the gap exactly, with what is held already; larger ones first."""
-        if self.there[gap] and self.enough((*held, gap)):
+        left = self.n.copy()
+        np.subtract.at(left, list(held), 1)
+        if left[gap] > 0:
             return (gap,)
-        places = np.arange(1, gap)
-        for a in places[self.there[1:gap] & self.there[gap - 1 : 0 : -1]][::-1][:8].tolist():
-            if a >= gap - a and self.enough((*held, a, gap - a)):
-                return a, gap - a
-        for a in places[self.there[1:gap] & self.two[gap - 1 : 0 : -1]][::-1][:8].tolist():
-            rest = np.arange(1, gap - a)
-            for b in rest[self.there[1 : gap - a] & self.there[gap - a - 1 : 0 : -1]][::-1][:8].tolist():
-                if self.enough((*held, a, b, gap - a - b)):
-                    return a, b, gap - a - b
+        if a := self.pair(gap, left):
+            return a, gap - a
+        for a in np.flatnonzero((left[1:gap] > 0) & self.two[gap - 1 : 0 : -1])[::-1].tolist():
+            left[a + 1] -= 1
+            if b := self.pair(gap - a - 1, left):
+                return a + 1, b, gap - a - 1 - b
+            left[a + 1] += 1
         return None
 
+    @staticmethod
+    def pair(gap: int, left: np.ndarray) -> int:
+        """The larger of two lengths left that fill the gap, the largest there is; 0 if there are none."""
+        there = left[:gap] > 0
+        both = there[1:] & there[:0:-1]
+        if gap % 2 == 0 and gap:
+            both[gap // 2 - 1] &= left[gap // 2] > 1
+        found = np.flatnonzero(both)
+        return int(found[-1]) + 1 if len(found) else 0
+
     def largest(self, gap: int, held: tuple[int, ...]) -> int:
         """The longest piece that fits, 0 if none does."""
         for x in np.flatnonzero(self.there[: gap + 1])[::-1].tolist():

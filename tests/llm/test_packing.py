@@ -85,3 +85,11 @@ def test_edges(spark, library):
     assert pack(pieces(df.limit(0), PATH)).count() == 0
     (long,) = [r.ids for r in pieces(df.where("doc_id = 5").limit(1), PATH, with_ids=True).collect()]
     assert long == [*library.encode("x" * 3000, add_special_tokens=False).ids, 1]
+
+
+def test_exact_triple_behind_many_that_need_one_length_twice():
+    from changeloom.llm.packing import _Stock
+
+    lengths = [82, 110, 118, 157, 180, 244, 280, 291, 303, 329, 335, 336, 394, 418, 440, 512, 640, 686, 764, 780, 836]
+    got = _Stock(dict.fromkeys(lengths, 1), 4096).exact(1000, ())
+    assert got and sum(got) == 1000 and len(set(got)) == 3 and set(got) <= set(lengths)
