@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against blocks of earlier text."""
+"""Substring dedup by counting windows of words under content-defined anchors."""
 
 from __future__ import annotations
 
@@ -23,10 +23,9 @@ def factors(docs: DataFrame, window: int = WORDS, run: int = ANCHOR) -> DataFram
     """Copied stretches of each document: ``doc_id, at, count``, ``count`` windows of ``window`` words from word ``at``.
 
     The reference is every block of the corpus, indexed by anchor. A block that stood
-    earlier is copied whole, the longest factor there is. The head of a block, new as a whole, is
-    parsed window by window against all other blocks under its anchor; the earliest
-    occurrence stays. Neighbouring spans overlap by all but one word of a window, so each window across the
-    boundary of two factors lies in one span and is checked too.
+    earlier is taken as a whole. Of the head of a block, new as a whole, every window is hashed and
+    counted with those of all other blocks under its anchor; the earliest
+    occurrence stays. This is not greedy Lempel-Ziv factoring: no longest match is searched.
     """
     found = occurrences(docs, "words", window, run)
     distinct = blocks(found)
