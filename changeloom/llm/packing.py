@@ -21,30 +21,36 @@ CAPACITY, END = 4096, 1
 
 
 def _cut(parts: Iterator[pa.RecordBatch], path: str, capacity: int, end: int, schema: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    bpe, last = vocabulary(path), np.array([end], "<u4").tobytes()
+    bpe = vocabulary(path)
     for part in parts:
-        data, starts = text_bytes(part.column(1))
-        ids = part.column(0).to_pylist()
-        for lo, hi in batches(starts, 1 << 20):
-            out = []
-            own = data[starts[lo] : starts[hi]].tobytes()
-            texts = [own[starts[i] - starts[lo] : starts[i + 1] - starts[lo]] for i in range(lo, hi)]
+        starts = text_bytes(part.column(1))[1]
+        for lo, hi in batches(starts, 1 << 22):
             with without_cycles():
-                encoded = bpe.encode(texts)
-            for i, raw in enumerate(encoded):
-                raw += last
-                for piece, k in enumerate(range(0, len(raw), 4 * capacity)):
-                    some = raw[k : k + 4 * capacity]
-                    out.append((ids[lo + i], piece, k // 4, len(some) // 4, zlib.crc32(some), np.frombuffer(some, "<u4") if with_ids else None))
-            columns = list(zip(*out, strict=True))
-            yield rows(schema, *columns[: 6 if with_ids else 5])
+                found, n = bpe.encode(part.column(1).slice(lo, hi - lo))
+            last = np.cumsum(n + 1) - 1
+            ids = np.full(len(found) + len(n), end, "<u4")
+            inner = np.ones(len(ids), bool)
+            inner[last] = False
+            ids[inner] = found
+            count = n // capacity + 1
+            text = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(capacity, n[text] + 1 - start)
+            begin = (last - n)[text] + start
+            raw = memoryview(ids.tobytes())
+            crc = [zlib.crc32(raw[4 * b : 4 * (b + k)]) for b, k in zip(begin.tolist(), length.tolist(), strict=True)]
+            columns = [part.column(0).take(pa.array(lo + text)), piece, start, length, crc]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids, pa.int64())))
+            yield rows(schema, *columns)
 
 
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Token pieces of each text: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, the ``ids``; no shuffle.
 
-    A text's ids are the tokenizer's without special tokens, then ``end``; strings that spell a special token are
-    ordinary text. A null or empty text is the one token ``end``. Only texts of more than ``capacity`` tokens are cut.
+    A text's ids are the tokenizer's without added special tokens, then ``end``; a string that spells a special token is that token, as in the
+    library. A null or empty text is the one token ``end``. Only texts of more than ``capacity`` tokens are cut.
     A null id and repeated rows stay as they are; other columns are ignored.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids

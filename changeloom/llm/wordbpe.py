@@ -8,13 +8,15 @@ from functools import lru_cache
 from unicodedata import ucd_3_2_0
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 from changeloom.llm.bpe import WHITE, Pairs
 
 #: Words whose ids a Python worker keeps between batches.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 
 
 def _byte_letters() -> list[str]:
@@ -28,7 +30,8 @@ class WordBpe:
     """A tokenizer file whose steps are NFC, lower case, one pattern, byte letters, and merges with an end-of-word mark.
 
     White space separates words in every step, so a text's ids are those of its words one after
-    another, and only new words are encoded. The file's own pattern is used.
+    another, and only new words are encoded. The file's own pattern is used. As the library does by default, a string that spells a special
+    token is that token, within a word too.
     """
 
     def __init__(self, path: str):
@@ -48,70 +51,92 @@ class WordBpe:
         left, right = (np.array([vocab[m[k]] for m in merges], np.int64) for k in (0, 1))
         merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.pairs = Pairs(left, right, np.arange(len(merges), dtype=np.int32), merged)
-        self.cache: dict[bytes, bytes] = {}
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Ids of new words.
-
-        A word of letters before a full stop or comma is learnt once without it. Words with characters newer than Unicode 3.2, whose
-        classes depend on a library's age, are left to the tokenizers library.
-        """
-        marked = [w for w in words if w[-1:] in b".," and len(w) > 1 and w[:-1].decode("utf-8").isalpha()]
-        plain = list(((words - set(marked)) | {w[:-1] for w in marked} | {w[-1:] for w in marked}) - self.cache.keys())
-        text = b"\n".join(plain).decode("utf-8")
-        rare = {c for c in set(text) if c > "\x7f" and ucd_3_2_0.category(c) == "Cn"}
-        if rare:
-            for w in plain:
-                if not rare.isdisjoint(w.decode("utf-8")):
-                    self.cache[w] = np.array(self.library.encode(w.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-            plain = [w for w in plain if w not in self.cache]
-            text = b"\n".join(plain).decode("utf-8")
-        text = unicodedata.normalize("NFC", text)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words by number, where the ids of each begin, and the ids of all one after another."""
+        self.number: dict[str, int] = {}
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _by_library(self, words: list[str]) -> list[str]:
+        """Words with a special token, or with characters newer than Unicode 3.2, whose classes depend on a library's age."""
+        text = "\n".join(words)
+        odd = {c for c in set(text) if c > "\x7f" and ucd_3_2_0.category(c) == "Cn"}
+        special = [s for s in self.special if s in text]
+        if not odd and not special:
+            return []
+        return [w for w in words if not odd.isdisjoint(w) or any(s in w for s in special)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: each word's parts, then the ids of distinct parts."""
+        apart = self._by_library(words)
+        if apart:
+            words = list(dict.fromkeys(words).keys() - set(apart))
+        text = unicodedata.normalize("NFC", "\n".join(words))
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        parts, counts = [], []
-        for w in text.split("\n") if plain else []:
+        parts: list[str] = []
+        counts: list[int] = []
+        for w in text.split("\n") if words else []:
             if w.isalpha():
                 parts.append(w)
                 counts.append(1)
+            elif w[-1] in ".," and w[:-1].isalpha():
+                parts += (w[:-1], w[-1])
+                counts.append(2)
             else:
                 some = self.find(w)
                 parts += some
                 counts.append(len(some))
-        ids, ends = self._merged(parts)
-        at = part = 0
-        for w, n in zip(plain, counts, strict=True):
-            part += n
-            end = ends[part]
-            self.cache[w] = ids[at:end]
-            at = end
-        for w in marked:
-            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
-
-    def _merged(self, parts: list[str]) -> tuple[bytes, list[int]]:
-        """The ids of all parts one after another, and where those of the first n parts end."""
-        if not parts:
-            return b"", [0]
-        whole = np.frombuffer("\n".join([*parts, ""]).encode("utf-8"), np.uint8)
-        brk = whole == 10
-        length = np.diff(np.flatnonzero(brk), prepend=-1) - 1
-        whole = whole[~brk]
+        distinct = pa.array(parts, pa.string()).dictionary_encode()
+        ids, size = self._merged(distinct.dictionary)
+        flat, n = gather(ids, np.cumsum(size) - size, size, distinct.indices.to_numpy())
+        before = np.concatenate(([0], np.cumsum(n)))
+        sizes = np.diff(before[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))])
+        by_library = [np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32) for w in apart]
+        self.number.update(zip([*words, *apart], range(len(self.number), len(self.number) + len(words) + len(apart)), strict=True))
+        sizes = np.concatenate([sizes, np.array([len(x) for x in by_library], np.int64)])
+        self.ids = np.concatenate([self.ids, flat, *by_library])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+
+    def _merged(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts one after another, and how many each has; no part is empty."""
+        if not len(parts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+        whole = np.frombuffer(parts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        length = np.diff(offsets)
         symbols, last = self.inner[whole], np.cumsum(length) - 1
         symbols[last] = self.last[whole[last]]
         merged, size = self.pairs.merge_all(symbols, length)
-        return merged.astype("<u4").tobytes(), [0, *(np.cumsum(size) * 4).tolist()]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each UTF-8 text as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
-        words = {w for some in split for w in some}
-        if len(self.cache) + len(new := words - self.cache.keys()) > CACHE_WORDS:
-            self.cache.clear()
-            new = words
-        self._learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, some)) for some in split]
+        return merged.astype(np.uint32), size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, and how many each text has; null is empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        offsets = split.offsets.to_numpy()
+        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        new = [w for w in words if w and w not in self.number]
+        if len(self.number) + len(new) > CACHE_WORDS:
+            self._forget()
+            new = [w for w in words if w]
+        if new:
+            self._learn(new)
+        which = np.array([self.number[w] if w else -1 for w in words], np.int64)  # -1: no word, at the ends of a text
+        size = np.where(which < 0, 0, np.diff(self.start)[which] if len(self.number) else 0)
+        ids, n = gather(self.ids, self.start[np.maximum(which, 0)], size, codes)
+        before = np.concatenate(([0], np.cumsum(n)))
+        return ids, np.diff(before[offsets - offsets[0]])
+
+
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values one after another, run k from ``start[k]`` and ``size[k]`` long, and how long each is."""
+    n = size[which]
+    at = np.repeat(start[which] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return values[at], n
 
 
 @lru_cache(2)

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,9 +18,7 @@ PATH = P.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 LIBRARY = []
@@ -30,9 +29,17 @@ LIBRARY = []
 def test_same_ids_as_the_library(text):
     if not LIBRARY:
         LIBRARY.append(Tokenizer.from_file(PATH))
-        LIBRARY[0].encode_special_tokens = True
-    (raw,) = vocabulary(PATH).encode([text.encode()])
-    assert np.frombuffer(raw, "<u4").tolist() == LIBRARY[0].encode(text, add_special_tokens=False).ids
+    texts = [text, None, "", text[::-1] + " b"]
+    ids, n = vocabulary(PATH).encode(pa.array(texts, pa.string()))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [LIBRARY[0].encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_are_the_library_s(library):
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y,<|startoftext|>", "<|EndOfText|> <|endoftext|", "a."]
+    ids, n = vocabulary(PATH).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[:3].tolist() == [320, 49407, 321]
 
 
 @settings(max_examples=100, deadline=None)
