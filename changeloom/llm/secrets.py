@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm.common import materialize
@@ -18,20 +18,16 @@ MOST_OWNERS, LEAST_KINDS = 2, 12
 _HINT = r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_-]{32}|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ"
 
 
-def _matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """All matches of a pattern as structs of start and end in code points and the value of a group.
+def _matches(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
+    """All matches of a pattern in their order as structs: kind, number, characters between the match before and this one, characters of the match, value of a group.
 
-    ``split`` and ``regexp_extract_all`` find the same matches; the texts between them give the places.
+    ``split`` and ``regexp_extract_all`` find the same matches; the texts between them give the places. The last struct has no match.
     """
-    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["whole"])
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(x["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))).alias("out"))
-
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    long = lambda x: F.transform(x, lambda c: F.length(c))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    found = F.arrays_zip(long(F.split(text, pattern, -1)).alias("gap"), long(whole).alias("size"), value.alias("value"))
+    return F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), m["gap"].alias("gap"), m["size"].alias("size"), m["value"].alias("value")))
 
 
 def _looks_live(value: Column) -> Column:
@@ -39,26 +35,23 @@ def _looks_live(value: Column) -> Column:
     return mixed & (F.size(F.array_distinct(F.split(value, ""))) >= LEAST_KINDS)
 
 
-def _tagged(found: Column, kind: int) -> Column:
-    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-
-
 def _of_kind(spans: str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda b: b["kind"] == kind)).cast("long")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, owner, kind, start, end, value`` of all candidates; kinds are places in KINDS. Texts are only searched if a plain pattern hits."""
+    """``doc_id, owner, kind, start, end, value`` of all candidates, in code points; kinds are places in KINDS. Texts are only searched if a plain pattern hits.
+
+    Matches leave a text as rows, and a running sum of their lengths by text and kind gives their places, so work is in proportion to the matches.
+    """
     hit = docs.where(F.col("text").rlike(_HINT))
     text = F.col("text")
-    kinds = [
-        F.filter(_matches(text, ASSIGN, 2), lambda m: F.length(m["value"]) >= 6),
-        F.filter(_matches(text, ACCESS), lambda m: F.length(m["value"]) >= 20),
-        F.filter(_matches(text, HEX), lambda m: F.length(m["value"]) >= 24),
-        F.filter(_matches(text, KNOWN), lambda m: _looks_live(m["value"])),
-    ]
-    tagged = [_tagged(found, k) for k, found in enumerate(kinds)]
-    return hit.select("doc_id", "owner", F.explode(F.concat(*tagged)).alias("c")).select("doc_id", "owner", "c.*")
+    kinds = [_matches(text, 0, ASSIGN, 2), _matches(text, 1, ACCESS), _matches(text, 2, HEX), _matches(text, 3, KNOWN)]
+    each = hit.select("doc_id", "owner", F.explode(F.concat(*kinds)).alias("m")).select("doc_id", "owner", "m.*").where("value is not null")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("doc_id", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    enough = F.when(F.col("kind") == 3, _looks_live(F.col("value"))).otherwise(F.length("value") >= F.element_at(F.array(F.lit(6), F.lit(20), F.lit(24)), F.least(F.col("kind"), F.lit(2)) + 1))
+    return placed.where(enough).select("doc_id", "owner", "kind", "start", "end", "value")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -68,6 +61,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return owned.withColumn("own", F.col("n_owners") <= MOST_OWNERS)
 
 
+def clear_of_base(judged: DataFrame) -> DataFrame:
+    """Base spans, and those of the other kind that are owner-specific and touch no base span: running bounds of base spans from both ends of a text."""
+    at = Window.partitionBy("doc_id").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("doc_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    is_base = F.col("kind") < 3
+    bounds = judged.withColumns({"before": F.max(F.when(is_base, F.col("end"))).over(at), "after": F.min(F.when(is_base, F.col("start"))).over(back)})
+    free = F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
+    return bounds.where(is_base | F.col("own") & free)
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -90,10 +93,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     docs = owners if not owners.groupBy("doc_id").count().where("count > 1").head(1) else owners.groupBy("doc_id").agg(F.max(F.struct("text", "owner")).alias("x")).select("doc_id", "x.*")
     found = materialize(candidates(docs).withColumn("hash", F.sha2("value", 256)).drop("value"))
     judged = found.join(ownership(found).select("hash", "own"), "hash")
-    spans = judged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "own"))).alias("s"))
-    base, live = F.filter("s", lambda x: x["kind"] < 3), F.filter("s", lambda x: (x["kind"] == 3) & x["own"])
-    free = F.filter("live", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    spans = spans.withColumns({"base": base, "live": live}).withColumn("all", F.array_sort(F.concat("base", free)))
+    spans = clear_of_base(judged).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "own"))).alias("all"))
+    spans = spans.withColumn("base", F.filter("all", lambda x: x["kind"] < 3))
     count = [_of_kind("base", k).alias(f"n_{KINDS[k]}") for k in range(3)]
     own = F.size(F.filter("all", lambda b: b["own"])).cast("long")
     told = spans.select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), own.alias("n_live"), (F.size("all") - own).alias("n_examples"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -97,6 +98,57 @@ def _united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def repeated_ranges(lefts: list[bytes], rights: list[bytes], least: int) -> list[list[tuple[int, int]]]:
+    """For each member, how many bytes before the anchor its repeated strings of ``least`` bytes begin, as ranges: the union of all maximal repeats that hold it.
+
+    The same array and scan as in ``maximal_repeats``, with memory in proportion to the members: an open interval of the stack holds its members by what stands before them, and when
+    a child closes, the smaller of its list and its parent's is inserted into the other. A member's neighbours there share most bytes before the anchor with it, of all members of
+    the interval, so only they are compared; the interval's depth is what they share from the anchor on.
+    """
+    by_left = sorted(range(len(lefts)), key=lefts.__getitem__)
+    place = {m: k for k, m in enumerate(by_left)}
+    found: list[list[tuple[int, int]]] = [[] for _ in lefts]
+
+    def add(a: int, b: int, depth: int) -> None:
+        back = common_prefix(lefts[by_left[a]], lefts[by_left[b]])
+        if back + depth >= least:
+            for m in (by_left[a], by_left[b]):
+                found[m].append((max(0, least - depth), back))
+                if len(found[m]) > 16:
+                    found[m] = _united(found[m])
+
+    def join(one: list[int], two: list[int], depth: int) -> list[int]:
+        if len(one) < len(two):
+            one, two = two, one
+        for x in two:
+            k = bisect(one, x)
+            if k:
+                add(one[k - 1], x, depth)
+            if k < len(one):
+                add(x, one[k], depth)
+            one.insert(k, x)
+        return one
+
+    order = sorted(range(len(rights)), key=rights.__getitem__)
+    stack: list[tuple[int, list[int]]] = []
+    for k, m in enumerate(order):
+        shared = common_prefix(rights[order[k - 1]], rights[m]) if k else 0
+        members: list[int] | None = None
+        while stack and stack[-1][0] > shared:
+            depth, own = stack.pop()
+            members = join(own, members, depth) if members is not None else own
+        if stack and stack[-1][0] == shared and members is not None:
+            stack[-1] = (shared, join(stack[-1][1], members, shared))
+        elif members is not None:
+            stack.append((shared, members))
+        stack.append((len(rights[m]) + 1, [place[m]]))
+    members = None
+    while stack:
+        depth, own = stack.pop()
+        members = join(own, members, depth) if members is not None else own
+    return [_united(f) for f in found]
+
+
 def _search(least: int) -> Callable[[pa.Table], pa.Table]:
     def search(part: pa.Table) -> pa.Table:
         part = part.sort_by("anchor")
@@ -106,15 +158,11 @@ def _search(least: int) -> Callable[[pa.Table], pa.Table]:
         for group in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(anchor)) + 1):
             members = group.tolist()
             lefts, rights = [texts[m][: inner[m]][::-1] for m in members], [texts[m][inner[m] :] for m in members]
-            held: dict[int, list[tuple[int, int]]] = {}
-            for back, on, some in maximal_repeats(lefts, rights, least):
-                for m in some:
-                    held.setdefault(m, []).append((int(inner[members[m]]) - back, int(inner[members[m]]) + on - least))
-            for m, found in held.items():
-                for lo, hi in _united(found):
-                    doc.append(ids[members[m]])
-                    begin.append(at[members[m]] + lo)
-                    count.append(hi - lo + 1)
+            for m, found in zip(members, repeated_ranges(lefts, rights, least), strict=True):
+                for near, far in found:
+                    doc.append(ids[m])
+                    begin.append(at[m] + inner[m] - far)
+                    count.append(far - near + 1)
         return pa.Table.from_batches([rows("doc_id long, at long, count int", doc, begin, count)])
 
     return search
