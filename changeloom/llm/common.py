@@ -39,10 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one under /tmp where it is unset, as in tests."""
+    """The folder that all executors see: spark.checkpoint.dir, or one under /tmp where it is unset in local mode, as in tests."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(f"/tmp/spark-{uuid.uuid4().hex[:12]}")
         found = context.getCheckpointDir()
     return found
@@ -59,6 +61,20 @@ def one_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
+def row_keys(df: DataFrame, id_col: str, key: str) -> DataFrame:
+    """The rows with one more column, a long that no two rows share and that rises with the id; rows without an id come last.
+
+    It is the id itself where ids are whole numbers, unique and not null; else rows are sorted by id over partitions, numbered, and written, as numbers
+    must not change when a task runs again.
+    """
+    df = df.select(*[c for c in df.columns if c != key])
+    ids = df.select(F.col(id_col).cast("long").alias("id"))
+    if ids.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return df.withColumn(key, F.col(id_col).cast("long"))
+    order = F.col(id_col).cast("long").asc_nulls_last()
+    return materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn(key, F.monotonically_increasing_id()))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
@@ -73,7 +89,17 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 @contextmanager

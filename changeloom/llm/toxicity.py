@@ -11,12 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import Sums, Words, batches, byte_values, materialize, rows, signed, text_bytes
+from changeloom.llm.common import Sums, Words, batches, byte_values, forget, materialize, rows, signed, text_bytes
 
 #: Bytes of an n-gram, and what is taken off each count.
 ORDER, DISCOUNT = 6, 0.75
 #: The most frequent words and n-grams whose ratios tasks hold; those of all others come by joins, with the same result.
-AT_HAND = 200_000
+AT_HAND = 500_000
 #: Labelled documents that the score is calibrated on, at most; of five parts of the ids, part 0 is held out and part 1 calibrates.
 CALIBRATION, FOLDS = 20_000, 5
 #: Words with the largest ratio whose mean is a second measure of a text.
@@ -42,7 +42,7 @@ def _word_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         data, starts = text_bytes(part.column(0))
         toxic = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for lo, hi in batches(starts, 1 << 22):
+        for lo, hi in batches(starts, 1 << 20):
             own = data[starts[lo] : starts[hi]]
             own = np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)
             found = Words(own, starts[lo : hi + 1] - starts[lo])
@@ -54,7 +54,7 @@ def _word_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gram_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of distinct words with counts by class; combined in the batch."""
+    """n-grams of two bytes and more of distinct words with counts by class; combined in the batch."""
     schema = "order int, gram long, context long, short long, short_context long, toxic long, ordinary long"
     for part in parts:
         data, starts = text_bytes_of_binary(part.column(0))
@@ -64,9 +64,9 @@ def _gram_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         real = np.arange(len(framed)) - at[word] >= ORDER - 1
         sums = Sums(byte_values(framed))
         end = np.flatnonzero(real) + 1
-        for k in range(1, ORDER + 1):
+        for k in range(2, ORDER + 1):
             gram, context = sums.hashes(end - k, end), sums.hashes(end - k, end - 1)
-            short, short_context = (sums.hashes(end - k + 1, end), sums.hashes(end - k + 1, end - 1)) if k > 1 else (gram, context)
+            short, short_context = sums.hashes(end - k + 1, end), sums.hashes(end - k + 1, end - 1)
             _, one, which = np.unique(gram, return_index=True, return_inverse=True)
             t = np.bincount(which, toxic[word[end - 1]], len(one)).astype(np.int64)
             o = np.bincount(which, ordinary[word[end - 1]], len(one)).astype(np.int64)
@@ -103,15 +103,15 @@ class Model:
 
     def __init__(self, found: DataFrame):
         none = [F.lit(0).cast("long").alias(c) for c in ("toxic", "ordinary")]
-        shorter = found.where("order > 1").groupBy(F.col("short").alias("gram")).agg(F.first("short_context").alias("context"), F.count("*").alias("n"))
+        shorter = found.groupBy(F.col("short").alias("gram")).agg(F.first("short_context").alias("context"), F.count("*").alias("n"))
         top = found.where(F.col("order") == ORDER).select("gram", "context", (F.col("toxic") + F.col("ordinary")).alias("n"), "toxic", "ordinary")
         grams = materialize(shorter.select("gram", "context", "n", *none).unionByName(top))
         sums = [x for c in ("n", "toxic", "ordinary") for x in (F.sum(c).alias(f"{c}_total"), F.count_if(F.col(c) > 0).alias(f"{c}_kinds"))]
         self.grams, self.contexts = grams.drop("context"), materialize(grams.groupBy("context").agg(*sums))
         self.weight = (0.0, 0.0, 0.0)
 
-    def ratios(self, words: DataFrame) -> DataFrame:
-        """``hash, n, ratio``: the log-likelihood ratio, toxic to ordinary, of each row of ``word, n`` with distinct words.
+    def ratios(self, words: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+        """``hash, n, ratio``: the log-likelihood ratio, toxic to ordinary, of each row of ``word, n`` with distinct words; and the written tables that this reads.
 
         Each n-gram of the words is smoothed once: it is joined with its counts and its context, then, length by length, with
         the next shorter n-gram. A word sums the ratios of its longest n-grams.
@@ -127,18 +127,21 @@ class Model:
             p = p.select("gram", "p") if k < ORDER else p
         ratio = F.log(F.col("toxic_own") + F.col("toxic_back") * F.col("p")) - F.log(F.col("ordinary_own") + F.col("ordinary_back") * F.col("p"))
         found = materialize(p.select("gram", "n", ratio.alias("ratio")))
+        forget(counted)
         schema = "hash long, n long, part double, rest array<long>"
         begun = materialize(words.mapInArrow(partial(_begin, hand=_at_hand(found, "gram"), schema=schema), schema))
         whole = begun.where("size(rest) = 0").select("hash", "n", F.col("part").alias("ratio"))
         rest = begun.where("size(rest) > 0").select("hash", "n", "part", F.explode("rest").alias("gram")).join(found.select("gram", "ratio"), "gram")
-        return whole.unionByName(rest.groupBy("hash").agg(F.first("n").alias("n"), (F.first("part") + F.sum("ratio")).alias("ratio")))
+        return whole.unionByName(rest.groupBy("hash").agg(F.first("n").alias("n"), (F.first("part") + F.sum("ratio")).alias("ratio"))), (begun, found)
 
     def measures(self, docs: DataFrame) -> DataFrame:
         """``doc_id, held_out, mean, telling`` of each row of ``doc_id, text, held_out``: the mean ratio of the words of a text and the mean
         of the TELLING largest; both 0 for a text without words."""
         each = docs.select("text", F.lit(True).alias("mark")).mapInArrow(_word_counts, "word binary, toxic long, ordinary long")
         words = materialize(each.groupBy("word").agg(F.sum("toxic").alias("n")))
-        ratios = materialize(self.ratios(words))
+        ratios, (begun, found) = self.ratios(words)
+        ratios = materialize(ratios)
+        forget(words, begun, found)
         schema = "row long, doc_id long, held_out boolean, words long, total double, top array<double>, rest array<long>, times array<long>"
         begun = docs.select("doc_id", "text", "held_out").mapInArrow(partial(_begin_text, hand=_at_hand(ratios, "hash"), schema=schema), schema)
         begun = materialize(begun)  # once, as the numbers of rows are given to tasks
@@ -147,7 +150,9 @@ class Model:
         work = begun.where("size(rest) > 0").join(rest, "row").select("doc_id", "held_out", "words", "total", "top", "more")
         whole = begun.where("size(rest) = 0").select("doc_id", "held_out", "words", "total", "top", F.array().cast(work.schema["more"].dataType).alias("more"))
         schema = "doc_id long, held_out boolean, mean double, telling double"
-        return whole.unionByName(work).mapInArrow(partial(_end_text, schema=schema), schema)
+        measured = materialize(whole.unionByName(work).mapInArrow(partial(_end_text, schema=schema), schema))
+        forget(ratios, begun)
+        return measured
 
 
 def _parts(count: str, name: str) -> tuple[Column, Column]:
@@ -221,7 +226,7 @@ def _begin_text(parts: Iterator[pa.RecordBatch], hand: tuple[np.ndarray, np.ndar
     for part in parts:
         data, starts = text_bytes(part.column(1))
         ids, held = part.column(0), part.column(2)
-        for lo, hi in batches(starts, 1 << 22):
+        for lo, hi in batches(starts, 1 << 20):
             own = data[starts[lo] : starts[hi]]
             own = np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)
             found, n = Words(own, starts[lo : hi + 1] - starts[lo]), hi - lo
@@ -256,13 +261,6 @@ def _end_text(parts: Iterator[pa.RecordBatch], schema: str) -> Iterator[pa.Recor
         yield rows(schema, part.column(0), part.column(1), sums / np.maximum(words, 1), telling)
 
 
-def _score(parts: Iterator[pa.RecordBatch], weight: tuple[float, float, float], schema: str) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        x = weight[0] * part.column(2).to_numpy() + weight[1] * part.column(3).to_numpy() + weight[2]
-        score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        yield rows(schema, part.column(0), part.column(1), score, (score >= 0.5).astype(np.int32))
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Weights of the two measures and a constant, by Newton's method with a light penalty."""
     scale = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(2)
@@ -298,6 +296,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     grams = words.mapInArrow(_gram_counts, schema).groupBy("order", "gram").agg(F.first("context").alias("context"), F.first("short").alias("short"), F.first("short_context").alias("short_context"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     grams = materialize(grams)
     model = Model(grams)
+    forget(words, grams)
     some = marked.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
     docs = _docs(df, id_col, text_col).join(F.broadcast(some), "doc_id").select("doc_id", "text", F.lit(False).alias("held_out"))
     seen = model.measures(docs).join(F.broadcast(some), "doc_id").orderBy("doc_id").limit(2 * CALIBRATION).toPandas()
@@ -311,6 +310,8 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
     A null, empty or blank text has the score of a text without evidence. A null id is never held out. Repeated rows stay; other
     columns are ignored; an empty table gives an empty table. Only the text decides the score.
     """
-    schema = "doc_id long, held_out boolean, score double, predicted int"
     docs = _docs(df, id_col, text_col).select("doc_id", "text", F.coalesce(F.col("fold") == 0, F.lit(False)).alias("held_out"))
-    return model.measures(docs).mapInArrow(partial(_score, weight=model.weight, schema=schema), schema)
+    mean, telling, constant = (F.lit(float(w)) for w in model.weight)
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), mean * F.col("mean") + telling * F.col("telling") + constant))
+    scored = model.measures(docs).withColumn("score", 1 / (1 + F.exp(-x)))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
