@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.anchors import spans
-from changeloom.llm.common import Sums, Words, batches, byte_values, materialize, rows, signed, text_bytes
+from changeloom.llm.common import Sums, Words, batches, byte_values, forget, materialize, rows, signed, text_bytes
 
 #: A place and a number of windows in one long.
 PACK = 1 << 12
@@ -51,7 +51,9 @@ def occurrences(docs: DataFrame, unit: str, window: int, run: int) -> DataFrame:
     """
     found = docs.select("doc_id", "text").mapInArrow(partial(_scan, unit=unit, window=window, run=run), _OCCURRENCE)
     shared = materialize(found.groupBy("anchor").count().where("count > 1").select("anchor"))
-    return materialize(found.join(shared, "anchor", "left_semi"))
+    out = materialize(found.join(shared, "anchor", "left_semi"))
+    forget(shared)
+    return out
 
 
 def blocks(found: DataFrame) -> DataFrame:

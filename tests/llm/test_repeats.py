@@ -1,13 +1,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 import changeloom.llm.suffix as suffix
-from changeloom.llm.substring import digest, remove_repeats
-from changeloom.llm.suffix import maximal_repeats, remove_repeated_bytes
+from changeloom.llm.substring import digest, factors, remove_repeats
+from changeloom.llm.suffix import common_prefix, maximal_repeats, remove_repeated_bytes, repeated_ranges
 
 
 def brute_words(rows, n=20):
@@ -96,3 +97,70 @@ def test_maximal_repeats_hold_all_occurrences():
     texts = [b"xxABCDEFyy", b"zzABCDEFyy", b"xxABCDqqqq", b"ppABCDEFrr"]
     found = {(b, o): sorted(m) for b, o, m in maximal_repeats([t[:4][::-1] for t in texts], [t[4:] for t in texts], 4)}
     assert found == {(2, 6): [0, 1], (2, 4): [0, 1, 3], (2, 2): [0, 1, 2, 3], (4, 2): [0, 2]}
+
+
+def test_factors_are_copies_and_cannot_be_longer(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    passages = [[word() for _ in range(n)] for n in (60, 90, 150)]
+    rows = []
+    for i in range(40):
+        w = [word() for _ in range(rng.randrange(0, 30))]
+        for p in rng.choices(passages, k=rng.randrange(1, 5)):
+            lo, hi = sorted((rng.randrange(len(p) + 1), rng.randrange(len(p) + 1)))
+            w += p[lo:hi] + [word() for _ in range(rng.randrange(0, 3))]
+        rows.append((i, " ".join(w)))
+    text = {i: t.split() for i, t in rows}
+    seen, first = set(), {}
+    for i in sorted(text):
+        for k in range(len(text[i]) - 19):
+            seen.add(key := tuple(text[i][k : k + 20]))
+            first.setdefault(key, (i, k))
+    got = sorted(tuple(r) for r in factors(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len({g[0] for g in got}) > 20 and any(g[5] for g in got)
+    begins = {g[:2] for g in got}
+    copied = {i: set() for i in text}
+    greedy_end = dict.fromkeys(text, 0)
+    for i, at, n, source, source_at, boundary in got:
+        assert n >= 20 and (source, source_at) < (i, at) and text[i][at : at + n] == text[source][source_at : source_at + n]
+        copied[i] |= set(range(at, at + n - 19))
+        if boundary:
+            assert at < greedy_end[i] < at + n
+        else:
+            assert at >= greedy_end[i]
+            greedy_end[i] = at + n
+            if at + n < len(text[i]) and source_at + n < len(text[source]) and text[i][at + n] == text[source][source_at + n]:
+                assert (i, at + n - 19) in begins  # longer in its source only where the next window was found in another block
+    for i, w in text.items():
+        assert copied[i] == {k for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] != (i, k)}
+
+
+def begins(ranges, most):
+    return {b for lo, hi in ranges for b in range(lo, min(hi, most) + 1)}
+
+
+def test_ranges_are_the_union_of_the_maximal_repeats():
+    rng = random.Random(3)
+    for _ in range(1000):
+        n, least = rng.randrange(1, 9), rng.randrange(3, 9)
+        some = lambda most: "".join(rng.choice("ab") for _ in range(rng.randrange(most))).encode()
+        lefts, rights = [some(6) for _ in range(n)], [b"A" + some(7) for _ in range(n)]
+        got = [begins(r, least) for r in repeated_ranges(lefts, rights, least)]
+        pairs = [(m, o, common_prefix(lefts[m], lefts[o]), common_prefix(rights[m], rights[o])) for m in range(n) for o in range(n) if o != m]
+        assert got == [{b for k, _, back, on in pairs if k == m for b in range(back + 1) if 0 <= least - b <= on} for m in range(n)]
+        held = [[] for _ in range(n)]
+        for back, on, members in maximal_repeats(lefts, rights, least):
+            for m in members:
+                held[m].append((max(0, least - on), back))
+        assert got == [begins(h, least) for h in held]
+
+
+def test_nested_repeats_need_little_memory():
+    rng = random.Random(4)
+    base = rng.randbytes(5000)
+    lefts = [b"q" * 250 + rng.randbytes(50) for _ in range(4096)]
+    rights = [base[: 100 + k * 300 // 4096] + k.to_bytes(2) * 5 for k in range(4096)]
+    tracemalloc.start()
+    found = repeated_ranges(lefts, rights, 400)
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and sum(map(bool, found)) > 2000
+    tracemalloc.stop()
