@@ -47,6 +47,25 @@ def test_lengths_and_copies(spark):
     assert recall(got, want) >= 0.97
 
 
+def test_one_very_long_vector(spark):
+    """Links among ordinary vectors must not drown in the length of one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(6000)] + [(6001, (rng.normal(size=16) * 1e5).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = result(nearest(df, df.where("vec_id % 20 = 0"), width=64)), brute(rows, [i for i, _ in rows if i % 20 == 0])
+    assert recall(got, want) >= 0.95
+
+
+def test_each_length_by_itself(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=2 + 2 * (i % 3)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = result(nearest(df, df.where("vec_id % 20 = 0"))), {}
+    for k in range(3):
+        want |= brute([r for r in rows if r[0] % 3 == k], [i for i, _ in rows if i % 20 == 0 and i % 3 == k])
+    assert got.keys() == want.keys() and recall(got, want) >= 0.97
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 2.0]), (20, [0.5, 0.0]), (20, [0.5, 0.0]), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [None, 1.0]), (120, []), (None, [1.0, 1.0]), (140, [1.0, 2.0]), (7, [float("inf"), 0.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
