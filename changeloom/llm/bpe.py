@@ -20,7 +20,7 @@ from changeloom.llm.common import rows, without_cycles
 _U = np.uint64
 #: Words whose ids a Python worker keeps between batches.
 CACHE_WORDS = 400_000
-#: Cells of a matrix of words; longer words than LONG are merged one at a time with a heap.
+#: Cells of a matrix of words; a word longer than LONG is a matrix of one row, which merges several places in a round.
 CELLS, LONG = 1 << 18, 2048
 _NONE = np.int32(0x7FFFFFFF)
 #: The white space of the tokenizer's own pattern language, which lacks U+001C to U+001F.
@@ -130,31 +130,31 @@ class Pairs:
             rank[at[best > 0], before[best > 0]], merged[at[best > 0], before[best > 0]] = pair_rank[:n][best > 0], pair[:n][best > 0]
             rank[at[~last], best[~last]], merged[at[~last], best[~last]] = pair_rank[n:][~last], pair[n:][~last]
 
-    def _one(self, word: np.ndarray) -> np.ndarray:
-        """The same merges for one very long word, with a heap of its pairs."""
-        import heapq
-
-        ids, n = word.tolist(), len(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank, merged = self.look_up(word[:-1], word[1:])
-        heap = [(int(r), i, int(m), ids[i], ids[i + 1]) for i, (r, m) in enumerate(zip(rank, merged, strict=True)) if r != _NONE]
-        heapq.heapify(heap)
-        while heap:
-            _, i, new, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = new, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x in (before[i], i):
-                y = after[x] if x >= 0 else n
-                if y < n:
-                    r, m = self.look_up(np.array([ids[x]]), np.array([ids[y]]))
-                    if r[0] != _NONE:
-                        heapq.heappush(heap, (int(r[0]), x, int(m[0]), ids[x], ids[y]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+    def _one(self, ids: np.ndarray) -> np.ndarray:
+        """The same merges for a matrix of one row: a round merges all places of least rank, from the left, that do not overlap.
+
+        That is what one place after another gives as long as no pair that a merge makes has that rank or a lower one; where one has, the
+        round merges the leftmost place alone.
+        """
+        rank, merged = self.look_up(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == least)
+            run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, at, 0))
+            at = at[(at - run) % 2 == 0]
+            while True:
+                new = ids.copy()
+                new[at] = merged[at]
+                new = np.delete(new, at + 1)
+                here = at - np.arange(len(at))
+                left, right = here[here > 0] - 1, here[here < len(new) - 1]
+                pair_rank, pair = self.look_up(new[np.concatenate([left, right])], new[np.concatenate([left, right]) + 1])
+                if len(at) == 1 or not len(pair_rank) or pair_rank.min() > least:
+                    break
+                at = at[:1]
+            ids, rank, merged = new, np.delete(rank, at), np.delete(merged, at)
+            rank[left], merged[left] = pair_rank[: len(left)], pair[: len(left)]
+            rank[right], merged[right] = pair_rank[len(left) :], pair[len(left) :]
+        return ids
 
 
 class ByteBpe:

@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -30,6 +32,14 @@ def test_same_ids_as_the_library(text):
     assert bpe.decode(ids) == text.encode()
 
 
+def test_long_words(library):
+    rng, pairs, byte = random.Random(1), vocabulary(PATH, P.PATTERN).pairs, vocabulary(PATH, P.PATTERN).byte
+    for letters, most in [("ab", 40), ("eta", 400), ("aA", 4000), ("lo", 3000), ("abcdefghijklmnopqrstuvwxyz", 60_000)] * 8:
+        word = "".join(rng.choice(letters) for _ in range(rng.randrange(2, most)))
+        merged, size = pairs.merge_all(byte[np.frombuffer(word.encode(), np.uint8)], np.array([len(word)]))
+        assert merged.tolist() == pairs._one(byte[np.frombuffer(word.encode(), np.uint8)]).tolist() == library.encode_ordinary(word) and size[0] == len(merged)
+
+
 def test_documents(spark, library):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in round_trip(df, PATH, P.PATTERN).collect()}
