@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import materialize, rows
+from changeloom.llm.common import materialize, row_keys, rows
 
 #: Given names by script and gender. A surrogate comes from the same list.
 GIVEN = {
@@ -139,7 +139,8 @@ class Surrogates:
         if kind == "email":
             local, _, domain = value.partition("@")
             host = self._like("aaaaaa", self._stream("domain", domain, 0))
-            return f"{self._like(local, stream)}@{host}.example.{domain.rpartition('.')[2]}"
+            more = "".join(str(next(stream) % 10) for _ in range(attempt // 4))  # where the mailboxes of that form are used up
+            return f"{self._like(local, stream)}{more}@{host}.example.{domain.rpartition('.')[2]}"
         if kind == "ip":
             return ".".join(str(1 + (next(stream) * 256 + next(stream)) % 254) for _ in range(4))
         if kind == "card":
@@ -217,7 +218,8 @@ def collisions(mentions: DataFrame, key: bytes, most: int = 60) -> DataFrame:
     """Other surrogates, ``kind, value, surrogate``, for values whose first one another value has too, or that is itself a value of the corpus.
 
     Of values that share a surrogate the smallest keeps it. The others try again, with an attempt number in the
-    keyed hash, until all differ; each round handles what collided in the round before.
+    keyed hash, until all differ; each round handles what collided in the round before. Mailboxes and surnames grow with the attempts, so
+    short ones never run out.
     """
     values = materialize(mentions.select("kind", "value", "surrogate").distinct().where("kind <> 'given'"))
     real = values.select("kind", F.col("value").alias("surrogate"))
@@ -259,12 +261,12 @@ def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text_col:
     """
     secret = hashlib.sha256(key.encode()).digest()
     df = df.select(*[c for c in df.columns if c not in ("n_entities", "entities")])
-    pairs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = row_keys(df, id_col, "__row")
+    pairs = keyed.select("__row", F.col(text_col).cast("string").alias("text"))
     mentions = materialize(pairs.mapInArrow(partial(_mentions, key=secret), "doc_id long, kind string, value string, surrogate string"))
     other = collisions(mentions, secret)
-    by_doc = mentions.drop("surrogate").join(other, ["kind", "value"]).groupBy(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null")).agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("__other"))
-    own = F.col(id_col).cast("long")
-    work = df.join(by_doc, (F.coalesce(own, F.lit(0)) == F.col("__id")) & (own.isNull() == F.col("__null")), "left").drop("__id", "__null")
+    by_row = mentions.drop("surrogate").join(other, ["kind", "value"]).groupBy(F.col("doc_id").alias("__row")).agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("__other"))
+    work = keyed.join(by_row, "__row", "left").select(*df.columns, "__other")
     schema = df.withColumn(text_col, F.col(text_col).cast("string")).withColumn("n_entities", F.lit(0).cast("long")).withColumn("entities", F.lit("")).schema
     names = [f.name for f in schema]
     return work.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(partial(_replaced, key=secret, at=df.columns.index(text_col), names=names), schema)

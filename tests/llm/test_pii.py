@@ -77,6 +77,15 @@ def test_small_domains_collide_and_are_told_apart(spark):
     assert len(made) == len(values) and not made & set(values)
 
 
+def test_used_up_mailboxes(spark):
+    """Ten mailboxes of one digit, and all of one letter: there are no more of that form to swap with."""
+    rows = [(i, f"{i}@x.com") for i in range(10)] + [(10 + i, f"{chr(97 + i)}@y.com") for i in range(26)] + [(None, "0@x.com"), (None, "a@y.com")]
+    got = replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
+    after = {r.doc_id: r.text for r in got if r.doc_id is not None}
+    assert len(set(after.values())) == 36 and not set(after.values()) & {t for _, t in rows}
+    assert sorted(r.text for r in got if r.doc_id is None) == sorted([after[0], after[10]])
+
+
 def test_edges(spark):
     rows = [(1, None, 1), (2, "", 1), (None, "me@x.org", 2), (None, None, 2), (3, "me@x.org " * 20_000, 3), (3, "me@x.org " * 20_000, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, entities int")
