@@ -44,12 +44,28 @@ def background_regions(units: DataFrame, calls: DataFrame, head_definitions: Dat
 
 
 def debug_report(units: DataFrame, calls: DataFrame, regions: DataFrame) -> DataFrame:
-    """Per unit: its symbol, kinds and segment, and how many and which calls and helpers it has."""
-    listed = lambda seq, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, c))), lambda x: x[c]), ", ")
-    c = calls.groupBy("change_id", "unit_seq").agg(F.count("*").alias("n_calls"), listed("call_seq", "qualified_name").alias("calls"))
-    r = regions.groupBy("change_id", "unit_seq").agg(F.count("*").alias("n_helpers"), listed("pos", "label").alias("helpers"))
-    out = units.join(c, ["change_id", "unit_seq"], "left").join(r, ["change_id", "unit_seq"], "left")
-    return out.select("change_id", "unit_seq", F.coalesce("symbol_name", "definition_name").alias("symbol"), "change_kind", "change_type", "element_kind", "segment_id", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("calls", F.lit("")).alias("calls"), F.coalesce("n_helpers", F.lit(0)).alias("n_helpers"), F.coalesce("helpers", F.lit("")).alias("helpers"))
+    """``change_id, file_path, unit_seq, report``: a text per unit that says its place, symbol, kinds, definition and segment, and lists its calls and helpers with their lines."""
+    keys = [*FILE, "unit_seq"]
+    span = lambda a, b: F.concat(F.lit("("), F.col(a).cast("string"), F.lit("-"), F.col(b).cast("string"), F.lit(")"))
+
+    def listed(of: DataFrame, seq: str, name, n: str, lines: str) -> DataFrame:
+        each = of.withColumn("__line", F.concat(F.lit("- "), name, F.lit(" "), span("start_line", "end_line")))
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(seq, "__line"))), lambda x: x["__line"])
+        return each.groupBy(*keys).agg(F.count("*").alias(n), F.array_join(ordered, "\n").alias(lines))
+
+    c = listed(calls, "call_seq", F.coalesce("qualified_name", "name"), "n_calls", "calls")
+    r = listed(regions, "pos", F.coalesce("label", F.lit("unknown")), "n_helpers", "helpers")
+    said = lambda label, c, other="n/a": F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c).cast("string"), F.lit(other)))
+    body = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Main "), "step_id", F.lit(": "), "file_path", F.lit(" "), span("start_line", "end_line")),
+        F.concat(F.lit("Symbol: "), F.coalesce("symbol_name", F.lit("unknown"))),
+        said("ChangeKind", "change_kind", "unknown"),
+        F.concat(said("Definition", "definition_name"), F.lit(" ("), F.coalesce("definition_type", F.lit("n/a")), F.lit(")")),
+        said("QualifiedName", "qualified_name"), said("ElementKind", "element_kind"), said("SegmentId", "segment_id"),
+        said("Related calls", "n_calls", "none"), "calls", said("Resolved helpers", "n_helpers", "none"), "helpers",
+    )
+    return units.join(c, keys, "left").join(r, keys, "left").select(*keys, body.alias("report"))
 
 
 def requests(units: DataFrame, contexts: DataFrame, intent: str, most: int = 12_000) -> DataFrame:

@@ -7,9 +7,13 @@ shortens or keeps it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changeloom.sources.tables import settle
+
 #: Name, condition on (lg, k), and the four lines of a block.
 _PY = {
     0: ("concat('def f', n, '(x):')", "concat('    y = f', m, '(x)')", "'    return y + \"f9(1)\"'", "''"),
@@ -69,7 +73,7 @@ fx_hunks as (
 
 
 def with_truth(orders: str = "orders", lineitem: str = "lineitem") -> str:
-    """The same and ``fx_definitions``, ``fx_calls`` and ``fx_globals`` of the revised side, in closed form; Markdown files have none."""
+    """The same and ``fx_definitions``, ``fx_calls`` and ``fx_globals`` of the revised side, and ``fx_head_definitions``, in closed form; Markdown files have none."""
     return f"""{with_blocks(orders, lineitem)},
 fx_code as (select * from fx_blocks where lg <> 'md'),
 fx_definition_rows as (
@@ -87,16 +91,26 @@ fx_calls as (select change_id, file_path, row_number() over (partition by change
 fx_globals as (
   select change_id, file_path, concat('G', n) as name, s as start_line, case lg when 'py' then s else s + 2 end as end_line from fx_code where k = 2
   union all select change_id, file_path, concat('h', n), s, s + 3 from fx_code where k = 4 and lg = 'js'
-  union all select change_id, file_path, concat('x', n), s + 2, s + 2 from fx_code where k = 5)"""
+  union all select change_id, file_path, concat('x', n), s + 2, s + 2 from fx_code where k = 5),
+fx_head as (select *, case op when 'R' then (m + 1) % 5 else m end as hm from fx_code where op <> 'A'),
+fx_head_rows as (
+  select change_id, file_path, b, 0 as part, concat('f', n) as name, concat('f', n) as qualified_name, 'function' as kind, hs as start_line, case lg when 'py' then hs + 2 else hs + 3 end as end_line from fx_head where k = 0
+  union all select change_id, file_path, b, 0, concat('C', n), concat('C', n), 'class', hs, case lg when 'py' then hs + 2 else hs + 3 end from fx_head where k = 1
+  union all select change_id, file_path, b, 1, concat('m', hm), concat('C', n, '.m', hm), 'method', hs + 1, case lg when 'py' then hs + 2 else hs + 1 end from fx_head where k = 1
+  union all select change_id, file_path, b, 0, concat('h', n), concat('h', n), 'function', hs, case lg when 'py' then hs + 2 else hs + 3 end from fx_head where k = 4),
+fx_head_definitions as (select change_id, file_path, row_number() over (partition by change_id, file_path order by b, part) as def_seq, name, qualified_name, kind, start_line, end_line from fx_head_rows)"""
+
+
+#: Tables of the corpus that were written, by application, data folder and name.
+_written: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Corpus:
-    """The corpus of one data folder as DataFrames."""
+    """The corpus of one data folder as DataFrames; each table is written to the shared folder when it is first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -104,34 +118,52 @@ class Corpus:
     def sql(self, select: str) -> DataFrame:
         """A SELECT over the common table expressions."""
         text = f"with {with_truth('orders_', 'lineitem_')} {select}".replace("{", "{{").replace("}", "}}")
-        return self.spark.sql(text.replace("orders_", "{orders}").replace("lineitem_", "{lineitem}"), **self.tables)
+        return self.spark.sql(text.replace("orders_", "{orders}").replace("lineitem_", "{lineitem}"), orders=self.table("orders"), lineitem=self.table("lineitem"))
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _written:
+            _written[key] = settle(make())
+        return _written[key]
+
+    def fx(self, name: str) -> DataFrame:
+        """One of the common table expressions."""
+        return self._once(name, lambda: self.sql(f"select * from {name}"))
 
     def diffs(self) -> DataFrame:
         """``change_id, diff_text``: one unified diff without context per change set; the text ends with a line feed."""
         target = F.when(F.col("ok") % 97 == 0, "/dev/null").when(F.col("ok") % 89 == 0, F.concat(F.lit("/elsewhere/"), "file_path")).otherwise(F.concat(F.lit("b/"), "file_path"))
         ordered = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: x[c]), "\n")
-        files = self.sql("select * from fx_hunks").groupBy("change_id", "ok", "file_path").agg(ordered("hunk_text", "b").alias("hunks"))
         section = F.concat(F.lit("diff --git a/"), "file_path", F.lit(" b/"), "file_path", F.lit("\n--- a/"), "file_path", F.lit("\n+++ "), target, F.lit("\n"), "hunks")
-        return files.withColumn("part", section).groupBy("change_id").agg(F.concat(ordered("part", "ok"), F.lit("\n")).alias("diff_text"))
 
-    def definitions(self) -> DataFrame:
-        return self.sql("select * from fx_definitions")
+        def make() -> DataFrame:
+            files = self.fx("fx_hunks").groupBy("change_id", "ok", "file_path").agg(ordered("hunk_text", "b").alias("hunks"))
+            return files.withColumn("part", section).groupBy("change_id").agg(F.concat(ordered("part", "ok"), F.lit("\n")).alias("diff_text"))
+
+        return self._once("diffs", make)
+
+    def definitions(self, side: str = "revised") -> DataFrame:
+        return self.fx("fx_definitions" if side == "revised" else "fx_head_definitions")
 
     def calls(self) -> DataFrame:
-        return self.sql("select * from fx_calls")
+        return self.fx("fx_calls")
 
     def globals(self) -> DataFrame:
-        return self.sql("select * from fx_globals")
+        return self.fx("fx_globals")
 
     def snapshots(self, side: str = "revised") -> DataFrame:
         """``change_id, file_path, text`` of one side; a file whose blocks are all added has no head text."""
-        blocks = self.sql("select * from fx_blocks")
-        if side == "revised":
-            body = F.concat_ws("\n", "l1", "l2", "l3", "l4")
-        else:
-            blocks = blocks.where("op <> 'A'")
-            second = F.when(F.col("op") == "R", F.col("was")).otherwise(F.col("l2"))
-            gone = F.when(F.col("op") == "D", F.concat(F.lit("\nold"), "n", F.lit("()\nold"), "m", F.lit("()"))).otherwise("")
-            body = F.concat(F.concat_ws("\n", "l1", second, "l3", "l4"), gone)
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", body.alias("x")))), lambda x: x["x"]), "\n")
-        return blocks.groupBy("change_id", "file_path").agg(text.alias("text"))
+
+        def make() -> DataFrame:
+            blocks = self.fx("fx_blocks")
+            if side == "revised":
+                body = F.concat_ws("\n", "l1", "l2", "l3", "l4")
+            else:
+                blocks = blocks.where("op <> 'A'")
+                second = F.when(F.col("op") == "R", F.col("was")).otherwise(F.col("l2"))
+                gone = F.when(F.col("op") == "D", F.concat(F.lit("\nold"), "n", F.lit("()\nold"), "m", F.lit("()"))).otherwise("")
+                body = F.concat(F.concat_ws("\n", "l1", second, "l3", "l4"), gone)
+            text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", body.alias("x")))), lambda x: x["x"]), "\n")
+            return blocks.groupBy("change_id", "file_path").agg(text.alias("text"))
+
+        return self._once(f"snapshots {side}", make)

@@ -80,14 +80,13 @@ def repository_index(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return index, overall.index_calls(index, s.calls, s.lines)
 
 
-def index_graph(index: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and weighted edges of the dependency graph of an index."""
-    node = F.concat(F.lit("overall-"), F.col("unit_seq").cast("string"))
-    nodes = index.withColumns({"node_id": node, "definition_name": F.col("name")})
-    refs = uses.select(*FILE, F.concat(F.lit("overall-"), F.col("unit_seq").cast("string")).alias("user"), "name", F.when(F.col("qualified_name") != F.col("name"), F.col("qualified_name")).alias("qualified_name"))
-    resolved = graph.resolve_references(refs, nodes)
-    users = nodes.select("change_id", F.col("node_id").alias("user"), F.lit("definition").alias("kind"))
-    return nodes, graph.tour_edges(resolved, users, graph.method_classes(nodes))
+def graph_of(main: DataFrame, calls: DataFrame, index: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and weighted edges of the graph of a change and the index together; ``calls`` are those of the change's units, ``uses`` of index units."""
+    whole = settle(steps.graph_input(steps.overall_steps(index), main))
+    own = calls.join(main.select("change_id", "unit_seq", "step_id"), ["change_id", "unit_seq"])
+    all_calls = uses.withColumn("step_id", F.concat(F.lit("overall-"), F.col("unit_seq").cast("string"))).select(*graph.STEP, "name", "qualified_name").unionByName(own.select(*graph.STEP, "name", "qualified_name"))
+    far = F.when(F.col("qualified_name") != F.col("name"), F.col("qualified_name"))
+    return graph.tour_graph(whole, all_calls.withColumn("qualified_name", far))
 
 
 def change_summary(diffs: DataFrame, root: str = "/work/repo") -> DataFrame:

@@ -113,12 +113,12 @@ def key_functions(c: Corpus) -> DataFrame:
 @query(" select distinct change_id, file_path, file_path as plain, file_path as below_root from fx_blocks")
 def normalized_paths(c: Corpus) -> DataFrame:
     p = F.col("file_path")
-    return c.sql("select distinct change_id, file_path from fx_blocks").select("change_id", "file_path", T.normalize_path(F.concat(F.lit("b/./src\\..//"), p)).alias("plain"), T.relative_path(F.concat(F.lit("/work/repo/x/../"), p), "/work/repo").alias("below_root"))
+    return c.fx("fx_blocks").select("change_id", "file_path").distinct().select("change_id", "file_path", T.normalize_path(F.concat(F.lit("b/./src\\..//"), p)).alias("plain"), T.relative_path(F.concat(F.lit("/work/repo/x/../"), p), "/work/repo").alias("below_root"))
 
 
 @query(f" select ok, b, {_PLAIN.replace('text', 'l3')} as plain from fx_blocks")
 def blanked_strings(c: Corpus) -> DataFrame:
-    return c.sql("select * from fx_blocks").select("ok", "b", T.blank_strings(F.col("l3")).alias("plain"))
+    return c.fx("fx_blocks").select("ok", "b", T.blank_strings(F.col("l3")).alias("plain"))
 
 
 @query("select doc_id, case when length(text) <= 500 then text else substr(text, 1, 300) || chr(10) || '... [truncated] ...' || chr(10) || right(text, 184) end as cut from documents", truth=False)
@@ -177,7 +177,7 @@ _CALLED = _UNITS + """, unit_calls as (select u.change_id, u.file_path, u.unit_s
 def _units(c: Corpus) -> DataFrame:
     """Definitions as if each were an added unit."""
     lit = F.lit
-    return c.definitions().withColumnRenamed("def_seq", "unit_seq").withColumns({"definition_name": F.col("name"), "symbol_name": F.col("name"), "change_kind": lit("definition"), "change_type": lit("add"), "element_kind": T.element_kind(F.col("kind")), "diff_text": lit(""), "segment_id": lit(""), "container_name": T.container(F.col("qualified_name")), "is_overall": lit(False)})
+    return c.definitions().withColumnRenamed("def_seq", "unit_seq").withColumns({"definition_name": F.col("name"), "symbol_name": F.col("name"), "change_kind": lit("definition"), "change_type": lit("add"), "element_kind": T.element_kind(F.col("kind")), "diff_text": lit(""), "segment_id": lit(""), "container_name": T.container(F.col("qualified_name")), "is_overall": lit(False), "label": F.col("name"), "kind": lit("definition")})
 
 
 @query(_CALLED + " select change_id, file_path, unit_seq, call_seq, qualified_name from unit_calls")
@@ -192,9 +192,11 @@ def called_definitions(c: Corpus) -> DataFrame:
     return background.called_definitions(background.unit_calls(_units(c), c.calls()), c.definitions()).select("change_id", "file_path", "unit_seq", "call_seq", "qualified_name", "start_line")
 
 
-_REGIONS = _CALLED + """, around as (select u.change_id, u.file_path, u.unit_seq, 0 as seq, d.start_line, d.start_line as end_line, d.name as label, row_number() over (partition by u.change_id, u.file_path, u.unit_seq order by d.end_line - d.start_line, d.def_seq) as r
-    from unit u join fx_definitions d on u.change_id = d.change_id and u.file_path = d.file_path and d.kind = 'class' and u.start_line between d.start_line and d.end_line),
-  every as (select change_id, file_path, unit_seq, seq, start_line, end_line, label from around where r = 1 union all select change_id, file_path, unit_seq, call_seq, d_start, d_end, d_qualified from best where r = 1),
+_REGIONS = _CALLED + """, head_tried as (select c.*, d.def_seq, d.name as d_name, d.qualified_name as d_qualified, d.start_line as d_start, d.end_line as d_end, case when d.qualified_name = c.qualified_name then 0 when d.qualified_name = c.name then 1 when d.name = c.qualified_name then 2 else 3 end as tier
+    from unit_calls c join fx_head_definitions d on c.change_id = d.change_id and c.file_path = d.file_path and (d.qualified_name in (c.qualified_name, c.name) or d.name in (c.qualified_name, c.name))),
+  head_best as (select *, row_number() over (partition by change_id, file_path, unit_seq, call_seq order by tier, def_seq) as r from head_tried), around as (select u.change_id, u.file_path, u.unit_seq, 0 as seq, d.start_line, d.start_line as end_line, d.name as label, row_number() over (partition by u.change_id, u.file_path, u.unit_seq order by d.end_line - d.start_line, d.def_seq) as r
+    from unit u join fx_head_definitions d on u.change_id = d.change_id and u.file_path = d.file_path and d.kind = 'class' and u.start_line between d.start_line and d.end_line),
+  every as (select change_id, file_path, unit_seq, seq, start_line, end_line, label from around where r = 1 union all select change_id, file_path, unit_seq, call_seq, d_start, d_end, d_qualified from head_best where r = 1),
   once as (select *, row_number() over (partition by change_id, file_path, unit_seq, start_line, end_line order by seq) as r from every),
   region as (select change_id, file_path, unit_seq, row_number() over (partition by change_id, file_path, unit_seq order by seq) as pos, start_line, end_line, label from once where r = 1)"""
 
@@ -202,7 +204,7 @@ _REGIONS = _CALLED + """, around as (select u.change_id, u.file_path, u.unit_seq
 @query(_REGIONS + " select * from region")
 def background_regions(c: Corpus) -> DataFrame:
     """The enclosing class and the called definitions of each unit."""
-    return background.background_regions(_units(c), c.calls(), c.definitions(), c.definitions())
+    return background.background_regions(_units(c), c.calls(), c.definitions("head"), c.snapshots("head"))
 
 
 _STEPS = """, first as (select *, min(unit_seq) over (partition by change_id, file_path) as f from (select *, row_number() over (partition by change_id order by file_path, unit_seq) as u from unit)),
@@ -216,7 +218,7 @@ _STEPS = """, first as (select *, min(unit_seq) over (partition by change_id, fi
 def background_order(c: Corpus) -> DataFrame:
     """Distinct background steps, numbered by first use and ordered."""
     units = _numbered(c)
-    used = background.background_regions(_units(c), c.calls(), c.definitions(), c.definitions()).join(units.select("change_id", "file_path", F.col("in_file").alias("unit_seq"), "step_no", "step_id"), ["change_id", "file_path", "unit_seq"])
+    used = background.background_regions(_units(c), c.calls(), c.definitions("head"), c.snapshots("head")).join(units.select("change_id", "file_path", F.col("in_file").alias("unit_seq"), "step_no", "step_id"), ["change_id", "file_path", "unit_seq"])
     bg, _ = steps.background_steps(used)
     return steps.order_background(bg).select("change_id", "bg_id", "file_path", "start_line", "label", "bg_position")
 
@@ -250,7 +252,10 @@ def _hunk_units(c: Corpus) -> DataFrame:
     return _hunks(c).withColumnRenamed("hunk_seq", "unit_seq")
 
 
-@query(_ADDED + f" select distinct change_id, file_path, hunk_seq as unit_seq, unnest(regexp_extract_all({_PLAIN}, '\\b([A-Za-z_][A-Za-z0-9_]*)\\b', 1)) as name from added qualify name not in ({_WORDS})".replace(" qualify name", " ) where name").replace(" select distinct change_id, file_path, hunk_seq as unit_seq, unnest", " select * from (select distinct change_id, file_path, hunk_seq as unit_seq, unnest"))
+_NAMES = rf"regexp_extract_all({_PLAIN}, '\b([A-Za-z_][A-Za-z0-9_]*)\b', 1)"
+
+
+@query(_ADDED + f" select distinct * from (select change_id, file_path, hunk_seq as unit_seq, unnest({_NAMES}) as name from added) where name not in ({_WORDS})")
 def identifiers(c: Corpus) -> DataFrame:
     """Names on added lines."""
     return graph.identifiers(_hunk_units(c))
@@ -294,7 +299,18 @@ def order_components(c: Corpus) -> DataFrame:
     return graph.component_summary(units, graph.order_units(units, _edges(c))).select("change_id", "file_path", "component", "start_line", "n_units")
 
 
-@query()
+_ORDER = _COMPONENTS + """, member as (select p.change_id, p.file_path, p.unit_seq, p.component, u.start_line, row_number() over (partition by p.change_id, p.file_path, p.component order by u.start_line, p.unit_seq) as rank,
+    exists (select 1 from edges e where e.change_id = p.change_id and e.file_path = p.file_path and e.from_seq = p.unit_seq) as goes_on, exists (select 1 from edges e where e.change_id = p.change_id and e.file_path = p.file_path and e.to_seq = p.unit_seq) as needs
+    from part p join unit u on p.change_id = u.change_id and p.file_path = u.file_path and p.unit_seq = u.unit_seq),
+  walk as (select change_id, file_path, component, unit_seq, [rank] as path from member where not needs and goes_on
+    union all select w.change_id, w.file_path, w.component, m.unit_seq, list_append(w.path, m.rank) from walk w join edges e on w.change_id = e.change_id and w.file_path = e.file_path and w.unit_seq = e.from_seq
+      join member m on e.change_id = m.change_id and e.file_path = m.file_path and e.to_seq = m.unit_seq where m.goes_on and not list_contains(w.path, m.rank)),
+  reached as (select change_id, file_path, unit_seq, min_by(path, [len(path)] || path) as path from walk group by 1, 2, 3),
+  placed as (select m.*, row_number() over (partition by m.change_id, m.file_path, m.component order by case when not m.goes_on then 0 when r.path is not null then 1 else 2 end, coalesce(len(r.path), 0), r.path, m.rank) as place from member m left join reached r on m.change_id = r.change_id and m.file_path = r.file_path and m.unit_seq = r.unit_seq)"""
+
+
+@query(_ORDER + """ select change_id, file_path, unit_seq, row_number() over (partition by change_id order by file_path, first_line, component, place) as graph_rank
+  from (select *, min(start_line) over (partition by change_id, file_path, component) as first_line from placed)""")
 def graph_order(c: Corpus) -> DataFrame:
     """Units in leaf-first order inside their components."""
     units = _units(c)
@@ -313,9 +329,8 @@ _RESOLVED = _CALLED + """, refs as (select change_id, file_path, unit_seq, name,
 def _tour_edges(c: Corpus) -> DataFrame:
     node = F.concat(F.col("file_path"), F.lit("#"), F.col("unit_seq").cast("string"))
     units = _units(c).withColumn("node_id", node)
-    refs = background.unit_calls(units, c.calls()).select("change_id", "file_path", node.alias("user"), "name", F.when(F.col("qualified_name") != F.col("name"), F.col("qualified_name")).alias("qualified_name"))
-    users = units.select("change_id", F.col("node_id").alias("user"), F.lit("definition").alias("kind"))
-    return graph.tour_edges(graph.resolve_references(refs, units), users, graph.method_classes(units).limit(0))
+    refs = background.unit_calls(units, c.calls()).select("change_id", "file_path", node.alias("user"), F.lit("definition").alias("kind"), "name", F.when(F.col("qualified_name") != F.col("name"), F.col("qualified_name")).alias("qualified_name"))
+    return graph.tour_edges(graph.resolve_references(refs, units), graph.method_classes(units).limit(0))
 
 
 @query(_RESOLVED + " select * from tour")
@@ -351,7 +366,7 @@ _PLAY = ", p as (select change_id, hunk_seq as position, op, op <> 'D' and k <>
   coalesce(case when visible then position end, min(case when visible then position end) over (partition by change_id order by position rows between 1 following and unbounded following), -1) as jump_position from p""")
 def visible_playlist(c: Corpus) -> DataFrame:
     """Next, previous and jump targets with background and global steps hidden."""
-    s = c.sql("select * from fx_hunks").select("change_id", F.col("hunk_seq").alias("position"), F.when(F.col("op") == "D", "background").otherwise("main").alias("step_type"), F.when(F.col("k") == 2, "global").otherwise("definition").alias("change_kind"))
+    s = c.fx("fx_hunks").select("change_id", F.col("hunk_seq").alias("position"), F.when(F.col("op") == "D", "background").otherwise("main").alias("step_type"), F.when(F.col("k") == 2, "global").otherwise("definition").alias("change_kind"))
     out = steps.playlist(steps.visible(s, False, False))
     return out.select("change_id", "position", *[F.coalesce(x, F.lit(-1)).alias(x) for x in ("next_position", "previous_position", "jump_position")])
 
@@ -412,17 +427,29 @@ def filtered_hunks(c: Corpus) -> DataFrame:
     return filter_hunks(found, keep, False)
 
 
-@query(""" select change_id, file_path, row_number() over (partition by change_id order by file_path, start_line, end_line, q nulls first, name) as unit_seq, name, element_kind, start_line, end_line from (
-  select change_id, file_path, name, qualified_name as q, kind as element_kind, start_line, end_line from fx_definitions union all select change_id, file_path, name, null, 'global', start_line, end_line from fx_globals)""")
+@query(""" select change_id, file_path, row_number() over (partition by change_id order by file_path, start_line, end_line, element_kind = 'global', q, name) as unit_seq, name, q as qualified_name, element_kind, start_line, end_line from (
+  select change_id, file_path, name, qualified_name as q, kind as element_kind, start_line, end_line from fx_definitions union all select change_id, file_path, name, name, 'global', start_line, end_line from fx_globals)""")
 def repository_index(c: Corpus) -> DataFrame:
     """Definitions and module variables of all files, sorted."""
-    return jobs.repository_index(c.snapshots())[0].select("change_id", "file_path", "unit_seq", "name", "element_kind", "start_line", "end_line")
+    return jobs.repository_index(c.snapshots())[0].select("change_id", "file_path", "unit_seq", "name", "qualified_name", "element_kind", "start_line", "end_line")
 
 
-@query()
+_INDEX = """, idx as (select change_id, file_path, def_seq, name, qualified_name, kind as element_kind, case when kind = 'method' then split_part(qualified_name, '.', 1) end as container_name, start_line, end_line from fx_definitions
+    union all select change_id, file_path, 0, name, name, 'global', null, start_line, end_line from fx_globals),
+  overall as (select *, row_number() over (partition by change_id order by file_path, start_line, end_line, element_kind = 'global', qualified_name, name) as n from idx)"""
+_BLOCK_LINES = ", text_lines as (" + " union all ".join(f"select change_id, file_path, lg, s + {k} as line, l{k + 1} as text from fx_code" for k in range(4)) + ")"
+_CODE = rf"""regexp_replace({_PLAIN}, case lg when 'py' then '#.*' else '\x00' end, '')"""
+_USES = _INDEX + _BLOCK_LINES + rf""", code as (select *, case when lg = 'py' then regexp_replace({_PLAIN}, '#.*', '') else {_PLAIN} end as plain from text_lines where not (lg = 'py' and regexp_matches(text, '^\s*(def|class)\s+'))),
+  named as (select distinct change_id, file_path, line, q as qualified_name, regexp_extract(q, '[A-Za-z0-9_]+$') as name from (select *, unnest(regexp_extract_all(plain, '\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)\b', 1)) as q from code)
+    union all select distinct change_id, file_path, line, null, q from (select *, unnest(regexp_extract_all(plain, '\b([A-Za-z_][A-Za-z0-9_]*)\b', 1)) as q from code)),
+  seen as (select * from named n where n.name not in ({", ".join(f"'{w}'" for w in T.INDEX_WORDS)}) and not (file_path like '%.py' and n.name in ({", ".join(f"'{w}'" for w in T.PYTHON_WORDS)})))"""
+
+
+@query(_USES + """ select o.change_id, o.file_path, o.n as unit_seq, 'call' as source, c.start_line as line, c.name, c.qualified_name from overall o join fx_calls c on o.change_id = c.change_id and o.file_path = c.file_path and o.start_line <= c.end_line and c.start_line <= o.end_line where o.element_kind <> 'global'
+  union all select o.change_id, o.file_path, o.n, 'name', s.line, s.name, coalesce(s.qualified_name, '') from overall o join seen s on o.change_id = s.change_id and o.file_path = s.file_path and s.line between o.start_line and o.end_line where o.element_kind <> 'global'""")
 def index_uses(c: Corpus) -> DataFrame:
-    """What each index unit calls and names, by number."""
-    return jobs.repository_index(c.snapshots())[1].groupBy("change_id", "file_path", "unit_seq", "source").count()
+    """What each index definition calls and names."""
+    return jobs.repository_index(c.snapshots())[1].select("change_id", "file_path", "unit_seq", "source", "line", "name", F.coalesce("qualified_name", F.lit("")).alias("qualified_name"))
 
 
 @query()
@@ -438,11 +465,57 @@ def diff_tour(c: Corpus) -> DataFrame:
     return jobs.diff_tour(c.diffs(), c.snapshots("head"), c.snapshots()).main.select("change_id", "step_id", "position", "file_path", "start_line", "end_line", "change_kind", "definition_name", "group_id")
 
 
-@query()
+#: Steps of a change in closed form: added functions, and the two operations of an added block of calls, which share a segment where the block's number is even.
+_OWN = """select change_id, file_path, row_number() over (partition by change_id order by ok, b, part) as num, kind, name, element_kind, start_line, end_line, segment, text from (
+  select change_id, ok, b, 0 as part, file_path, 'definition' as kind, concat('f', n) as name, 'function' as element_kind, s as start_line, case lg when 'py' then s + 2 else s + 3 end as end_line, cast(null as string) as segment, concat(l1, chr(10), l2, chr(10), l3) as text from fx_hunks where not dropped and op = 'A' and k = 0
+  union all select change_id, ok, b, 1, file_path, 'operation', cast(null as string), cast(null as string), s, s, case when b % 2 = 0 then concat(file_path, '|', s, '-', s + 2) end, l1 from fx_hunks where not dropped and op = 'A' and k = 3
+  union all select change_id, ok, b, 2, file_path, 'operation', cast(null as string), cast(null as string), s + 2, s + 2, case when b % 2 = 0 then concat(file_path, '|', s, '-', s + 2) end, l3 from fx_hunks where not dropped and op = 'A' and k = 3) t"""
+_STEP_SQL = _KEPT + _INDEX + f""", own as ({_OWN}),
+  step as (select change_id, concat('overall-', n) as step_id, n as position, 'unknown' as kind, name as label, file_path, start_line, end_line, element_kind, qualified_name, container_name, true as is_overall, cast(null as string) as segment, concat('overall-', n) as node_id, def_seq from overall
+    union all select w.change_id, concat('main-', num), coalesce(t.n, 0) + num, kind, coalesce(name, 'Operation'), file_path, start_line, end_line, element_kind, name, null, false, segment,
+      case when kind = 'definition' then concat('main-', num) when segment is not null then concat('op:op|', file_path, '|segment:', segment) else concat('op:op|', file_path, '|range:', start_line, '-', end_line, '|main-', num) end, null
+      from own w left join (select change_id, count(*) as n from overall group by 1) t on w.change_id = t.change_id),
+  node as (select change_id, node_id, min(position) - 1 as idx, min(kind) as kind, min(label) as label, file_path, min(start_line) as start_line, max(end_line) as end_line, coalesce(min(element_kind), '-') as element_kind, coalesce(min(qualified_name), '-') as qualified_name, coalesce(min(container_name), '-') as container_name, min(is_overall) as is_overall,
+    concat_ws('|', min(kind), file_path, coalesce(min(qualified_name), min(label)), min(segment)) as identity_key, concat_ws('|', file_path, case when min(kind) = 'operation' then null else min(qualified_name) end) as layout_key,
+    string_agg(concat(step_id, ' ', 'Step ', position, ' · L', start_line, '-', end_line), ', ' order by position) as steps from step group by change_id, node_id, file_path)"""
+
+
+def _steps(c: Corpus) -> DataFrame:
+    index = steps.overall_steps(steps.sorted_index(overall.index_units(c.definitions(), c.globals())))
+    own = c._once("own", lambda: c.sql(_OWN))
+    text = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x))
+    main = own.select("change_id", "file_path", F.concat(F.lit("main-"), "num").alias("step_id"), F.col("num").cast("int").alias("position"), F.col("kind").alias("change_kind"), F.col("name").alias("definition_name"), F.col("name").alias("qualified_name"), F.lit(None).cast("string").alias("symbol_name"), "element_kind", "start_line", "end_line", F.col("segment").alias("segment_id"), F.array_join(text, "\n").alias("diff_text"))
+    return steps.graph_input(index, main)
+
+
+@query(_STEP_SQL + " select *, not is_overall as hidden from node")
 def tour_nodes(c: Corpus) -> DataFrame:
-    """Graph nodes of the tours' main steps."""
-    tour = jobs.diff_tour(c.diffs(), c.snapshots("head"), c.snapshots())
-    return graph.overall_visibility(graph.nodes(tour.main.withColumn("is_overall", F.lit(False))), False)
+    """Graph nodes of the index and of a change together, those of the change hidden."""
+    found = graph.overall_visibility(graph.nodes(_steps(c)), True)
+    listed = F.array_join(F.transform("steps", lambda x: F.concat_ws(" ", x["id"], x["label"])), ", ")
+    return found.withColumns({"steps": listed} | {x: F.coalesce(x, F.lit("-")) for x in ("element_kind", "qualified_name", "container_name")})
+
+
+_LINKS = _STEP_SQL + rf""", spoken as (select w.change_id, w.file_path, w.num, unnest(string_split(w.text, chr(10))) as text from own w),
+  ref as (select *, row_number() over () as ref from (
+    select s.change_id, s.file_path, s.node_id as to_id, s.kind, c.name, case when c.qualified_name <> c.name then c.qualified_name end as q from step s join fx_calls c on s.change_id = c.change_id and s.file_path = c.file_path and s.start_line <= c.end_line and c.start_line <= s.end_line where s.element_kind is distinct from 'global'
+    union all select s.change_id, s.file_path, s.node_id, s.kind, name, null from (select distinct change_id, num, name from (select change_id, num, unnest({_NAMES}) as name from spoken) where name not in ({_WORDS})) x join step s on s.change_id = x.change_id and s.step_id = concat('main-', x.num))),
+  target as (select * from node where element_kind <> '-' or kind = 'definition'),
+  t1 as (select r.ref, r.change_id, r.to_id, r.kind, n.node_id from ref r join target n on r.change_id = n.change_id and r.file_path = n.file_path and r.q = n.qualified_name),
+  t2 as (select r.ref, r.change_id, r.to_id, r.kind, n.node_id from ref r join target n on r.change_id = n.change_id and r.file_path = n.file_path and r.name = n.label where r.ref not in (select ref from t1)),
+  alone as (select change_id, label, min(node_id) as node_id from target group by 1, 2 having count(*) = 1),
+  t3 as (select r.ref, r.change_id, r.to_id, r.kind, n.node_id from ref r join alone n on r.change_id = n.change_id and r.name = n.label where r.ref not in (select ref from t1) and r.ref not in (select ref from t2)),
+  link as (select change_id, node_id as from_id, to_id, case kind when 'operation' then 'op-to-def' else 'def-to-def' end as edge_type from (select * from t1 union all select * from t2 union all select * from t3) where kind = 'operation' or node_id <> to_id
+    union all select m.change_id, m.node_id, k.node_id, 'def-to-def' from step m join node k on m.is_overall and m.element_kind = 'method' and k.element_kind = 'class' and m.change_id = k.change_id and m.file_path = k.file_path and m.container_name = k.label)"""
+
+
+@query(_LINKS + " select change_id, from_id, to_id, edge_type, count(*) as weight from link group by 1, 2, 3, 4")
+def tour_edges(c: Corpus) -> DataFrame:
+    """Weighted edges of that graph: operations and definitions to what they mean, methods of the index to their classes."""
+    s = _steps(c)
+    calls = background.unit_calls(s.where("element_kind is null or element_kind <> 'global'").withColumn("unit_seq", F.col("position")), c.calls())
+    attached = calls.join(s.select("change_id", F.col("position").alias("unit_seq"), "step_id"), ["change_id", "unit_seq"]).select(*graph.STEP, "name", F.when(F.col("qualified_name") != F.col("name"), F.col("qualified_name")).alias("qualified_name"))
+    return graph.tour_graph(s, attached)[1]
 
 
 @query()
@@ -452,7 +525,12 @@ def explanation_requests(c: Corpus) -> DataFrame:
     return background.requests(units, store.file_contexts(c.snapshots("head"), c.snapshots()), "review")
 
 
-@query()
+@query(_REGIONS + """, told as (select change_id, file_path, unit_seq, count(*) as n_calls, string_agg(concat('- ', qualified_name, ' (', line, '-', line, ')'), chr(10) order by call_seq) as calls from unit_calls group by 1, 2, 3),
+  helped as (select change_id, file_path, unit_seq, count(*) as n_helpers, string_agg(concat('- ', label, ' (', start_line, '-', end_line, ')'), chr(10) order by pos) as helpers from region group by 1, 2, 3)
+  select u.change_id, u.file_path, u.unit_seq, concat_ws(chr(10), concat('Main main-', u.unit_seq, ': ', u.file_path, ' (', u.start_line, '-', u.end_line, ')'), concat('Symbol: ', u.name), 'ChangeKind: definition', concat('Definition: ', u.name, ' (', u.kind, ')'), concat('QualifiedName: ', u.qualified_name), concat('ElementKind: ', u.kind), 'SegmentId: n/a',
+    concat('Related calls: ', coalesce(n_calls::varchar, 'none')), calls, concat('Resolved helpers: ', coalesce(n_helpers::varchar, 'none')), helpers) as report
+  from unit u left join told t on t.change_id = u.change_id and t.file_path = u.file_path and t.unit_seq = u.unit_seq left join helped h on h.change_id = u.change_id and h.file_path = u.file_path and h.unit_seq = u.unit_seq""")
 def debug_reports(c: Corpus) -> DataFrame:
-    units = _units(c)
-    return background.debug_report(units, background.unit_calls(units, c.calls()), background.background_regions(units, c.calls(), c.definitions(), c.definitions()))
+    """A report per unit: what it is, its calls and the helpers that they resolve to."""
+    units = _units(c).withColumns({"step_id": F.concat(F.lit("main-"), "unit_seq"), "definition_type": F.col("element_kind"), "segment_id": F.lit(None).cast("string")})
+    return background.debug_report(units, background.unit_calls(units, c.calls()), background.background_regions(units, c.calls(), c.definitions("head"), c.snapshots("head")))

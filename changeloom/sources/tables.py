@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of one's own under /tmp where it is unset, as in tests."""
+    """spark.checkpoint.dir, or a folder of one's own under /tmp where it is unset in local mode, as in tests."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(f"/tmp/spark-{uuid.uuid4().hex[:12]}")
         found = context.getCheckpointDir()
     return found

@@ -1,5 +1,8 @@
 """Literal cases of hunks, ranges, groups, order and stores."""
 
+import time
+from collections import Counter
+
 from changeloom.operators import graph, ranges, source, steps
 from changeloom.operators.hunks import added_lines, line_runs, parse_hunks
 from changeloom.sources import store
@@ -68,6 +71,21 @@ def test_script_source(spark):
     assert [(r.name, r.start_line) for r in source.script_globals(rows).collect()] == [("g", 6), ("z", 9)]
 
 
+def test_script_of_a_megabyte():
+    text = "class A {\n  run(x) { return this.b(x).c({ y: [x] }); }\n}\nconst g = async (a) => {\n  return new X(a);\n};\nlet z = [\n  1 ];\n" * 9000
+    began = time.process_time()
+    rows = list(source._script(text))
+    assert time.process_time() - began < 10 and len(text) > 1_000_000
+    assert Counter(r[0] for r in rows) == {"definition": 27_000, "call": 18_000, "global": 18_000}
+    assert rows[26_999][-2:] == (9000 * 8 - 4, 9000 * 8 - 2)
+
+
+def test_python_of_deep_nesting():
+    text = "x = " + " + ".join(f"f{k}(1)" for k in range(2500)) + "\ny = " + ".a" .join(["b"] * 2000) + "()"
+    assert len([r for r in source._python(text) if r[0] == "call"]) >= 2500
+    assert [r[2:] for r in source._python("class A:\n    def m(self):\n        pass\n\n    x = (\ndef f(:\n  y")] == [("A", "A", "class", 1, 5), ("m", "A.m", "method", 2, 3), ("f", "f", "function", 6, 7)]
+
+
 def test_groups(spark):
     rows = [(1, "a", k, s, e) for k, (s, e) in enumerate([(1, 2), (4, 20), (6, 7), (25, 25), (31, 31)])]
     df = spark.createDataFrame(rows, "change_id long, file_path string, unit_seq int, start_line int, end_line int").selectExpr("*", "'f' as symbol_name", "'f' as definition_name", "'operation' as change_kind")
@@ -83,8 +101,8 @@ def test_order():
 
 
 def test_references_need_a_unique_name(spark):
-    schema = "change_id long, file_path string, node_id string, definition_name string, qualified_name string"
-    refs = spark.createDataFrame([(1, "c", "u", "get", None)], "change_id long, file_path string, user string, name string, qualified_name string")
+    schema = "change_id long, file_path string, node_id string, label string, qualified_name string"
+    refs = spark.createDataFrame([(1, "c", "u", "definition", "get", None)], "change_id long, file_path string, user string, kind string, name string, qualified_name string")
     two = spark.createDataFrame([(1, "a", "a1", "get", "get"), (1, "b", "b1", "get", "get")], schema)
     assert graph.resolve_references(refs, two).count() == 0
     assert graph.resolve_references(refs, two.where("file_path = 'a'")).count() == 1
