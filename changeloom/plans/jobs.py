@@ -51,10 +51,10 @@ def change_units(diffs: DataFrame, revised: DataFrame, root: str = "/work/repo")
 
 
 def order(units: DataFrame, calls: DataFrame) -> DataFrame:
-    """Main steps with ``graph_rank`` and ``position``."""
-    names = graph.related_names(units, calls)
-    placed = settle(graph.order_units(units, graph.ordering_edges(units, names)))
-    ranked = steps.main_steps(units).join(graph.graph_rank(units, placed), ["change_id", "file_path", "unit_seq"])
+    """Main steps with ``graph_rank`` and ``position``; variables come first and take no part in the graph order."""
+    rest = units.where("change_kind <> 'global'")
+    placed = settle(graph.order_units(rest, graph.ordering_edges(rest, graph.related_names(rest, calls))))
+    ranked = steps.main_steps(units).join(graph.graph_rank(rest, placed), ["change_id", "file_path", "unit_seq"], "left")
     return steps.globals_first(ranked)
 
 

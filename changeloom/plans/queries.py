@@ -452,17 +452,62 @@ def index_uses(c: Corpus) -> DataFrame:
     return jobs.repository_index(c.snapshots())[1].select("change_id", "file_path", "unit_seq", "source", "line", "name", F.coalesce("qualified_name", F.lit("")).alias("qualified_name"))
 
 
-@query()
+_DIFF = """case when op = 'A' then concat(split_part(hunk_text, chr(10), 1), chr(10), array_to_string(list_transform(list_slice([l1, l2, l3, l4], start_line - s + 1, end_line - s + 1), lambda x: '+' || x), chr(10)))
+      when op = 'R' and k = 1 then hunk_text when op = 'R' and k in (0, 2, 4) then concat(split_part(hunk_text, chr(10), 1), chr(10), '+', l2) else concat(hunk_text, case when from_last = 1 then chr(10) else '' end) end"""
+
+
+_TOUR = _SPLIT + _HEADERS + """, unit as (select p.change_id, p.hunk_seq, p.file_path, p.start_line, p.end_line, p.change_kind, p.change_type, k.op, k.k, k.lg, k.s, k.l1, k.l2, k.l3, k.l4, k.was, k.hunk_text, k.from_last,
+      row_number() over (partition by p.change_id order by p.hunk_seq, p.start_line) as unit_seq,
+      case when p.change_kind <> 'operation' then p.name when op = 'R' and k.k = 0 then concat('f', n) when op = 'R' and k.k = 4 then concat('h', n)
+        when lg = 'py' and (op = 'A' and k.k = 3 or op = 'R' and k.k = 2) then (select max_by(h.name, h.line) from headers h where h.change_id = p.change_id and h.file_path = p.file_path and h.line <= p.start_line) end as name
+    from split p join kept k on p.change_id = k.change_id and p.hunk_seq = k.hunk_seq),
+  spoken as (select change_id, unit_seq, unnest(case when op = 'A' then list_slice([l1, l2, l3, l4], start_line - s + 1, end_line - s + 1) when op = 'R' then [l2] else [] end) as text from unit)"""
+_GROUPED = """, keyed as (select *, struct_pack(a := name, b := change_kind, c := case when change_kind = 'definition' then name end) as key from unit),
+  lagged as (select *, row_number() over here = 1 or key is distinct from lag(key) over here as opens from keyed window here as (partition by change_id, file_path order by start_line, unit_seq)),
+  run as (select *, sum(opens::int) over (partition by change_id, file_path order by start_line, unit_seq) as run from lagged),
+  topped as (select *, max(end_line) over (partition by change_id, file_path, run order by start_line, unit_seq rows between unbounded preceding and 1 preceding) as top from run),
+  counted as (select *, sum(case when top is null or start_line - top > 5 then 1 else 0 end) over (partition by change_id, file_path order by start_line, unit_seq) - 1 as g from topped),
+  grouped as (select *, concat(file_path, '::', coalesce(first_value(name) over (partition by change_id, file_path, g order by start_line, unit_seq), 'top-level'), '::', g) as group_id from counted)"""
+_ORDERED = rf""", said as (select change_id, unit_seq, name from (select change_id, unit_seq, unnest({_NAMES}) as name from spoken) where name not in ({_WORDS})
+    union select change_id, unit_seq, name from (select change_id, unit_seq, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1)) as name from spoken) where name not in ('if', 'for', 'while')
+    union select change_id, unit_seq, unnest(regexp_extract_all(text, '(?:self|this)\.([A-Za-z_][A-Za-z0-9_]*)', 1)) from spoken
+    union select u.change_id, u.unit_seq, unnest(case when c.qualified_name <> c.name then list_append(string_split(c.qualified_name, '.'), c.name) else [c.name] end) from unit u join fx_calls c on u.change_id = c.change_id and u.file_path = c.file_path and u.start_line <= c.end_line and c.start_line <= u.end_line),
+  used as (select u.change_id, u.file_path, u.unit_seq, u.change_kind, t.unit_seq as target from said x join unit u on x.change_id = u.change_id and x.unit_seq = u.unit_seq and u.change_kind <> 'global' join unit t on u.change_id = t.change_id and u.file_path = t.file_path and t.change_kind = 'definition' and t.name = x.name and t.unit_seq <> u.unit_seq),
+  edges as (select distinct change_id, file_path, case change_kind when 'operation' then unit_seq else target end as from_seq, case change_kind when 'operation' then target else unit_seq end as to_seq from used),
+  both_ways as (select change_id, from_seq as a, to_seq as b from edges union select change_id, to_seq, from_seq from edges),
+  reach as (select change_id, unit_seq as a, unit_seq as b from unit where change_kind <> 'global' union select r.change_id, r.a, e.b from reach r join both_ways e on r.change_id = e.change_id and r.b = e.a),
+  part as (select change_id, a as unit_seq, min(b) as component from reach group by 1, 2),
+  member as (select u.*, p.component, row_number() over (partition by u.change_id, p.component order by u.change_kind = 'operation', u.start_line, u.unit_seq) as rank,
+    exists (select 1 from edges e where e.change_id = u.change_id and e.from_seq = u.unit_seq) as goes_on, exists (select 1 from edges e where e.change_id = u.change_id and e.to_seq = u.unit_seq) as needs from unit u join part p on u.change_id = p.change_id and u.unit_seq = p.unit_seq),
+  walk as (select change_id, unit_seq, [rank] as path from member where not needs and goes_on
+    union all select w.change_id, m.unit_seq, list_append(w.path, m.rank) from walk w join edges e on w.change_id = e.change_id and w.unit_seq = e.from_seq join member m on e.change_id = m.change_id and e.to_seq = m.unit_seq where m.goes_on and not list_contains(w.path, m.rank)),
+  reached as (select change_id, unit_seq, min_by(path, [len(path)] || path) as path from walk group by 1, 2),
+  placed as (select m.*, row_number() over (partition by m.change_id, m.component order by case when not m.goes_on then 0 when r.path is not null then 1 else 2 end, coalesce(len(r.path), 0), r.path, m.rank) as place,
+    bool_or(m.change_kind = 'operation') over (partition by m.change_id, m.component) as has_operation, min(m.start_line) over (partition by m.change_id, m.component) as first_line from member m left join reached r on m.change_id = r.change_id and m.unit_seq = r.unit_seq),
+  ranked as (select change_id, unit_seq, row_number() over (partition by change_id order by has_operation desc, file_path, first_line, component, place) as graph_rank from placed),
+  numbered as (select g.*, row_number() over (partition by g.change_id order by f, start_line, g.unit_seq) as step_no, r.graph_rank from (select *, min(unit_seq) over (partition by change_id, file_path) as f from grouped) g left join ranked r on g.change_id = r.change_id and g.unit_seq = r.unit_seq)"""
+
+
+@query(_TOUR + _GROUPED + _ORDERED + """ select change_id, concat('main-', step_no) as step_id, row_number() over (partition by change_id order by change_kind <> 'global', coalesce(graph_rank, 0), file_path, start_line, step_no) as position, file_path, start_line, end_line, change_kind, coalesce(name, '') as definition_name, group_id from numbered""")
+def diff_tour(c: Corpus) -> DataFrame:
+    """Main steps of every change set in tour order, from diffs and texts alone."""
+    main = jobs.diff_tour(c.diffs(), c.snapshots("head"), c.snapshots()).main
+    return main.select("change_id", "step_id", "position", "file_path", "start_line", "end_line", "change_kind", F.coalesce("definition_name", F.lit("")).alias("definition_name"), "group_id")
+
+
+_APPLIED = _TOUR + _INDEX + f""", fits as (select u.change_id, u.unit_seq, o.n, o.end_line - o.start_line as span, case when u.change_kind = 'operation' or u.name is distinct from o.name then 1 else 0 end as tier from unit u join overall o on u.change_id = o.change_id and u.file_path = o.file_path
+    and (o.start_line <= u.start_line and u.start_line <= o.end_line or u.change_kind <> 'operation' and u.name = o.name and o.start_line <= u.end_line and u.start_line <= o.end_line)),
+  target as (select change_id, unit_seq, arg_min(n, tier * 1000000000 + span * 100000 + n) as n from fits group by 1, 2),
+  merged as (select t.change_id, t.n, case when bool_or(change_kind = 'operation') then 'operation' else max_by(change_kind, u.unit_seq) end as change_kind, bool_or(change_kind = 'global') as became_global, string_agg({_DIFF}, chr(10) order by u.unit_seq) as diff_text from target t join unit u on t.change_id = u.change_id and t.unit_seq = u.unit_seq group by 1, 2)"""
+
+
+@query(_APPLIED + """ select o.change_id, o.file_path, o.n as unit_seq, false as is_clone, o.name, o.start_line, o.end_line, case when m.became_global then 'global' else o.element_kind end as element_kind, coalesce(m.change_kind, '') as change_kind, coalesce(m.diff_text, '') as diff_text
+  from overall o left join merged m on o.change_id = m.change_id and o.n = m.n where exists (select 1 from overall)""")
 def changes_applied(c: Corpus) -> DataFrame:
     """Change units applied to the repository index."""
     index, _ = jobs.repository_index(c.snapshots())
-    return overall.apply_changes(index, jobs.change_units(c.diffs(), c.snapshots()))
-
-
-@query()
-def diff_tour(c: Corpus) -> DataFrame:
-    """Main steps of every change set in tour order."""
-    return jobs.diff_tour(c.diffs(), c.snapshots("head"), c.snapshots()).main.select("change_id", "step_id", "position", "file_path", "start_line", "end_line", "change_kind", "definition_name", "group_id")
+    out = overall.apply_changes(index, jobs.change_units(c.diffs(), c.snapshots()))
+    return out.withColumns({x: F.coalesce(x, F.lit("")) for x in ("change_kind", "diff_text")})
 
 
 #: Steps of a change in closed form: added functions, and the two operations of an added block of calls, which share a segment where the block's number is even.
@@ -518,7 +563,14 @@ def tour_edges(c: Corpus) -> DataFrame:
     return graph.tour_graph(s, attached)[1]
 
 
-@query()
+_GUIDE = "case change_type " + " ".join(f"when '{k}' then '{v}'" for k, v in T.GUIDANCE.items()) + " end"
+_TEXTS = """, revised as (select change_id, file_path, string_agg(concat(l1, chr(10), l2, chr(10), l3, chr(10), l4), chr(10) order by b) as text from fx_blocks group by 1, 2),
+  head as (select change_id, file_path, string_agg(concat(l1, chr(10), case op when 'R' then was else l2 end, chr(10), l3, chr(10), l4, case op when 'D' then concat(chr(10), 'old', n, '()', chr(10), 'old', m, '()') else '' end), chr(10) order by b) as text from fx_blocks where op <> 'A' group by 1, 2)"""
+
+
+@query(_TOUR + _TEXTS + f""" select u.change_id, u.unit_seq, u.file_path, u.start_line, u.end_line, concat_ws(chr(10), {_GUIDE}, 'Intent: review', concat('Place: ', u.file_path, ':', u.start_line, '-', u.end_line), concat('Symbol: ', coalesce(u.name, '-')), 'Change:', {_DIFF},
+    'Before:', case when r.text is null or h.text is null then '' else h.text end, 'After:', case when r.text is null or h.text is null then '' else r.text end) as request
+  from unit u left join revised r on u.change_id = r.change_id and u.file_path = r.file_path left join head h on u.change_id = h.change_id and u.file_path = h.file_path""")
 def explanation_requests(c: Corpus) -> DataFrame:
     """Request texts for all change units."""
     units = jobs.change_units(c.diffs(), c.snapshots())
