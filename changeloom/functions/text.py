@@ -20,6 +20,7 @@ GRAPH_WORDS = "if for while return const let var function class def async await
 INDEX_WORDS = "if for while return def class async await new import from export as this self true false null none undefined".split()
 PYTHON_WORDS = "in with and or".split()
 
+BACKGROUND_GUIDANCE = "Say what this code did before the change, and how the change depends on it."
 GUIDANCE = {
     "add": "Say what this new code is for and where it is used.",
     "remove": "Say what went away and what now takes its place.",
@@ -173,10 +174,6 @@ def ignored_in_index(name: Column, lang: Column) -> Column:
     return ignored(name, INDEX_WORDS) | ((F.coalesce(lang, F.lit("")) == "python") & name.isin(PYTHON_WORDS))
 
 
-def change_kind(kind: Column) -> Column:
-    return F.when(kind == "variable", "global").otherwise("definition")
-
-
 def element_kind(kind: Column) -> Column:
     return F.when(kind == "variable", "global").when(kind.isin("class", "method"), kind).otherwise("function")
 

@@ -74,3 +74,12 @@ def requests(units: DataFrame, contexts: DataFrame, intent: str, most: int = 12_
     place = F.concat(F.col("file_path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
     body = F.concat_ws("\n", T.guidance(F.col("change_type")), F.concat(F.lit("Intent: "), F.lit(intent)), F.concat(F.lit("Place: "), place), F.concat(F.lit("Symbol: "), F.coalesce("symbol_name", "definition_name", F.lit("-"))), F.lit("Change:"), "diff_text", F.lit("Before:"), "before", F.lit("After:"), "after")
     return units.join(short, FILE, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("before", "after")}).select("change_id", "unit_seq", "file_path", "start_line", "end_line", body.alias("request"))
+
+
+def region_requests(regions: DataFrame, head: DataFrame, intent: str, most: int = 12_000) -> DataFrame:
+    """A request text per distinct background region: guidance, intent, place, symbol, and the head side's text, cut in the middle before the join."""
+    some = regions.select(*FILE, "start_line", "end_line", "label").distinct()
+    short = head.select(*FILE, T.truncate_middle(F.coalesce("text", F.lit("")), most).alias("before"))
+    place = F.concat(F.col("file_path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    body = F.concat_ws("\n", F.lit(T.BACKGROUND_GUIDANCE), F.concat(F.lit("Intent: "), F.lit(intent)), F.concat(F.lit("Place: "), place), F.concat(F.lit("Symbol: "), F.coalesce("label", F.lit("-"))), F.lit("Before:"), F.coalesce("before", F.lit("")))
+    return some.join(short, FILE, "left").select(*FILE, "start_line", "end_line", "label", body.alias("request"))

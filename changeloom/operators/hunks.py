@@ -63,12 +63,14 @@ def filter_hunks(hunks: DataFrame, keep: DataFrame, include_removed: bool) -> Da
 
     Headers and file marks stay, removed lines if asked for, context goes.
     """
-    parts = keep.groupBy("change_id", "hunk_seq", "part").agg(F.collect_set("line_number").alias("wanted"))
-    walked = _walk(hunks).join(parts, ["change_id", "hunk_seq"])
-    removed = F.col("line").startswith("-") & ~F.col("file_mark")
-    chosen = F.col("header") | F.col("file_mark") | (F.col("added") & F.array_contains("wanted", F.col("number"))) | (removed if include_removed else F.lit(False))
+    key = ["change_id", "hunk_seq"]
+    keep = keep.select(*key, "part", F.col("line_number").alias("number")).distinct()
+    walked = _walk(hunks).select(*key, "pos", "line", "header", "file_mark", "added", "number")
+    fixed = F.col("header") | F.col("file_mark") | (F.col("line").startswith("-") if include_removed else F.lit(False))
+    whole = walked.where(fixed).join(keep.select(*key, "part").distinct(), key).select(*key, "part", "pos", "line")
+    chosen = walked.where(~fixed & F.col("added")).join(keep, [*key, "number"]).select(*key, "part", "pos", "line")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return walked.where(chosen).groupBy("change_id", "hunk_seq", "part").agg(text.alias("diff_text"))
+    return whole.unionByName(chosen).groupBy(*key, "part").agg(text.alias("diff_text"))
 
 
 def line_runs(numbers: DataFrame, keys: list[str], line: str = "line_number") -> DataFrame:
@@ -76,9 +78,3 @@ def line_runs(numbers: DataFrame, keys: list[str], line: str = "line_number") ->
     some = numbers.select(*keys, line).distinct()
     island = F.col(line) - F.row_number().over(Window.partitionBy(*keys).orderBy(line))
     return some.withColumn("island", island).groupBy(*keys, "island").agg(F.min(line).alias("start_line"), F.max(line).alias("end_line")).drop("island")
-
-
-def summary(hunks: DataFrame) -> DataFrame:
-    """Hunks and lines by change set, language and type of change."""
-    told = hunks.withColumns({"language": T.language(F.col("file_path")), "change_type": T.change_type(F.col("diff_text"))})
-    return told.groupBy("change_id", "language", "change_type").agg(F.count("*").alias("n_hunks"), F.countDistinct("file_path").alias("n_files"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from changeloom.functions import text as T
 #: Lines of a bin: a range is copied to each bin that it touches, so a huge file spreads over many keys.
 BIN = 256
 FILE = ["change_id", "file_path"]
+_HEADER = re.compile(r"(async\s+def|def|class)\s+([A-Za-z_][A-Za-z0-9_]*)")
 _DEF = ["name", "qualified_name", "kind", "start_line", "end_line"]
 
 
@@ -41,20 +45,43 @@ def innermost(points: DataFrame, definitions: DataFrame, line: str = "line_numbe
     return some.join(best, [*FILE, line], "left").select(*FILE, line, *[F.col(f"d.{c}").alias(f"{prefix}{c}") for c in _DEF])
 
 
+_HEADERS = "change_id long, file_path string, start_line int, name string, kind string, end_line int"
+
+
+def header_ranges(lines: DataFrame) -> DataFrame:
+    """Every ``def`` and ``class`` line of Python texts with the last line of its indented body: one pass over the lines of a file."""
+
+    def read(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("line_number")
+        found, opened, last = [], [], 0
+        for number, text in part[["line_number", "text"]].itertuples(index=False, name=None):
+            plain = text.lstrip()
+            if not plain:
+                continue
+            indent = len(text) - len(plain)
+            while opened and opened[-1][0] >= indent:
+                opened.pop()[1][-1] = last
+            last = number
+            if m := _HEADER.match(plain):
+                found.append([*key, number, m[2], "class" if m[1] == "class" else "function", number])
+                opened.append((indent, found[-1]))
+        for _, own in opened:
+            own[-1] = last
+        return pd.DataFrame(found, columns=[c.split()[0] for c in _HEADERS.split(", ")])
+
+    slim = lines.select(F.col("change_id").cast("long").alias("change_id"), "file_path", "line_number", "text")
+    return slim.groupBy(*FILE).applyInPandas(read, _HEADERS)
+
+
 def enclosing_header(points: DataFrame, lines: DataFrame, line: str = "line_number") -> DataFrame:
     """Python lines with the nearest ``def`` or ``class`` line at or before each, and where its indented body ends; it need not hold the line."""
     some = points.select(*FILE, line).distinct()
-    head = rf"^(\s*)(?:async\s+def|def|class)\s+({T.NAME})"
-    here = Window.partitionBy(*FILE).orderBy("line_number")
-    opens = F.when(F.col("text").rlike(head), F.struct(F.regexp_extract("text", head, 2).alias("name"), F.col("line_number").alias("start_line"), F.length(F.regexp_extract("text", head, 1)).alias("indent"), F.when(F.col("text").rlike(r"^\s*class"), "class").otherwise("function").alias("kind")))
-    marked = lines.withColumn("h", F.last(opens, ignorenulls=True).over(here))
-    found = some.join(marked.select(*FILE, F.col("line_number").alias(line), "h"), [*FILE, line]).where("h is not null").select(*FILE, line, "h.*")
-    body = lines.where(T.trim(F.col("text")) != "").select(*FILE, F.col("line_number").alias("at"), F.length(F.regexp_extract("text", r"^\s*", 0)).alias("own"))
-    ends = found.select(*FILE, "start_line", "indent").distinct().join(body, FILE).where(F.col("at") > F.col("start_line"))
-    stop = F.min(F.when(F.col("own") <= F.col("indent"), F.col("at")))
-    ends = ends.groupBy(*FILE, "start_line", "indent").agg(stop.alias("stop"), F.max("at").alias("final"))
-    ends = ends.join(ends.where("stop is not null").select(*FILE, "start_line", "indent", "stop").join(body, FILE).where("at < stop and at >= start_line").groupBy(*FILE, "start_line").agg(F.max("at").alias("inside")), [*FILE, "start_line"], "left")
-    return found.join(ends.drop("indent"), [*FILE, "start_line"], "left").select(*FILE, line, F.col("name").alias("in_name"), F.col("name").alias("in_qualified_name"), F.col("kind").alias("in_kind"), F.col("start_line").alias("in_start_line"), F.coalesce("inside", F.when(F.col("stop").isNull(), F.col("final")), "start_line").cast("int").alias("in_end_line"))
+    heads = header_ranges(lines.join(some.select(*FILE).distinct(), FILE, "left_semi"))
+    head = F.struct("name", "kind", "start_line", "end_line")
+    both = heads.select(*FILE, F.col("start_line").alias(line), head.alias("h"), F.lit(0).alias("asked")).unionByName(some.withColumns({"h": F.lit(None).cast("struct<name:string,kind:string,start_line:int,end_line:int>"), "asked": F.lit(1)}))
+    before = F.last("h", ignorenulls=True).over(Window.partitionBy(*FILE).orderBy(line, "asked"))
+    found = both.withColumn("h", before).where("asked = 1 and h is not null")
+    return found.select(*FILE, line, F.col("h.name").alias("in_name"), F.col("h.name").alias("in_qualified_name"), F.col("h.kind").alias("in_kind"), F.col("h.start_line").alias("in_start_line"), F.col("h.end_line").alias("in_end_line"))
 
 
 def normal_kind(kind: Column) -> Column:

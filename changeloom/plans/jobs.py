@@ -12,7 +12,7 @@ from changeloom.operators import background, graph, overall, source, steps
 from changeloom.operators.hunks import parse_hunks
 from changeloom.operators.ranges import FILE
 from changeloom.operators.units import split_units
-from changeloom.sources.store import file_contexts
+from changeloom.sources.store import file_contexts, missing
 from changeloom.sources.tables import settle
 
 
@@ -72,6 +72,19 @@ def diff_tour(diffs: DataFrame, head: DataFrame, revised: DataFrame, root: str =
     return Tour(units, main, bg, deps, steps.playlist(steps.visible(steps.playlist_of(main, bg))))
 
 
+def explanation_requests(tour: Tour, head: DataFrame, revised: DataFrame, stored: DataFrame, intent: str, whole_gate: bool = False) -> DataFrame:
+    """``change_id, step_id, step_type, file_path, start_line, end_line, request`` of the steps without a stored explanation; with ``whole_gate`` of the change sets without any."""
+    contexts = file_contexts(head, revised)
+    keys = ["change_id", "step_id", "step_type", "file_path", "start_line", "end_line"]
+    main = missing(tour.main.withColumn("step_type", F.lit("main")), stored, whole_gate)
+    own = background.requests(main, contexts, intent).select("change_id", "unit_seq", "request")
+    regions = missing(tour.background.withColumns({"step_type": F.lit("background"), "step_id": F.col("bg_id")}), stored, whole_gate)
+    told = background.region_requests(regions, head, intent).withColumnRenamed("label", "of")
+    same = [*FILE, "start_line", "end_line"]
+    of_regions = regions.join(told, same).where(F.col("label").eqNullSafe(F.col("of")))
+    return main.join(own, ["change_id", "unit_seq"]).select(*keys, "request").unionByName(of_regions.select(*keys, "request"))
+
+
 def repository_index(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Index units and what they use, from all source texts."""
     s = read_sources(snapshots)

@@ -393,10 +393,15 @@ def missing_explanations(c: Corpus) -> DataFrame:
     return store.missing(main, store.explanations(_stores(c), "focus")).select("change_id", "hunk_seq")
 
 
-@query(_KEPT + """ select change_id, 'steps: ' || count(*) || chr(10) || '---' || chr(10) || string_agg('step: main-' || hunk_seq || chr(10) || 'type: main' || chr(10) || 'file: ' || file_path || chr(10) || 'kind: operation' || chr(10) || 'name: -' || chr(10) || 'lines: ' || start_line || '-' || end_line, chr(10) || '---' || chr(10) order by hunk_seq) as report from kept group by 1""")
+@query(_KEPT + """ select change_id, concat('Steps: ', count(*), chr(10), chr(10), string_agg(concat_ws(chr(10), concat('STEP main-', hunk_seq), case when k = 2 then 'Type: background' else 'Type: main' end, concat('File: ', file_path), concat('Range: ', start_line, '-', end_line),
+    case when k = 2 then concat('Label: G', n) else concat_ws(chr(10), 'ChangeKind: operation', 'DefinitionName: n/a', 'DefinitionType: n/a', 'DiffText:', concat(hunk_text, case when from_last = 1 then chr(10) else '' end)) end, 'Explanation:', case when k = 3 then '(empty)' else concat('text ', hunk_seq) end, '---'), chr(10) order by hunk_seq)) as report from kept group by 1""")
 def tour_report(c: Corpus) -> DataFrame:
     """The text report of each change set."""
-    s = _hunks(c).withColumns({"step_id": F.concat(F.lit("main-"), F.col("hunk_seq").cast("string")), "step_type": F.lit("main"), "change_kind": F.lit("operation"), "definition_name": F.lit(None).cast("string"), "position": F.col("hunk_seq")})
+    known = c.fx("fx_hunks").select("change_id", "hunk_seq", "k", "n")
+    s = _hunks(c).join(known, ["change_id", "hunk_seq"]).withColumns({
+        "step_id": F.concat(F.lit("main-"), F.col("hunk_seq").cast("string")), "step_type": F.when(F.col("k") == 2, "background").otherwise("main"), "change_kind": F.lit("operation"), "definition_name": F.lit(None).cast("string"),
+        "definition_type": F.lit(None).cast("string"), "label": F.concat(F.lit("G"), "n"), "position": F.col("hunk_seq"), "explanation": F.when(F.col("k") != 3, F.concat(F.lit("text "), "hunk_seq")),
+    })
     return store.report(s)
 
 
@@ -577,6 +582,14 @@ def explanation_requests(c: Corpus) -> DataFrame:
     return background.requests(units, store.file_contexts(c.snapshots("head"), c.snapshots()), "review")
 
 
+@query(_REGIONS + _TEXTS + f""" select distinct r.change_id, r.file_path, r.start_line, r.end_line, r.label, concat_ws(chr(10), '{T.BACKGROUND_GUIDANCE}', 'Intent: review', concat('Place: ', r.file_path, ':', r.start_line, '-', r.end_line), concat('Symbol: ', r.label), 'Before:', h.text) as request
+  from region r join head h on r.change_id = h.change_id and r.file_path = h.file_path""")
+def region_requests(c: Corpus) -> DataFrame:
+    """Request texts for the existing code that units depend on."""
+    regions = background.background_regions(_units(c), c.calls(), c.definitions("head"), c.snapshots("head"))
+    return background.region_requests(regions, c.snapshots("head"), "review")
+
+
 @query(_REGIONS + """, told as (select change_id, file_path, unit_seq, count(*) as n_calls, string_agg(concat('- ', qualified_name, ' (', line, '-', line, ')'), chr(10) order by call_seq) as calls from unit_calls group by 1, 2, 3),
   helped as (select change_id, file_path, unit_seq, count(*) as n_helpers, string_agg(concat('- ', label, ' (', start_line, '-', end_line, ')'), chr(10) order by pos) as helpers from region group by 1, 2, 3)
   select u.change_id, u.file_path, u.unit_seq, concat_ws(chr(10), concat('Main main-', u.unit_seq, ': ', u.file_path, ' (', u.start_line, '-', u.end_line, ')'), concat('Symbol: ', u.name), 'ChangeKind: definition', concat('Definition: ', u.name, ' (', u.kind, ')'), concat('QualifiedName: ', u.qualified_name), concat('ElementKind: ', u.kind), 'SegmentId: n/a',

@@ -3,6 +3,8 @@
 import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from changeloom.operators import graph, ranges, source, steps
 from changeloom.operators.hunks import added_lines, line_runs, parse_hunks
 from changeloom.sources import store
@@ -128,6 +130,38 @@ def test_store(spark, tmp_path):
     assert store.read_store(spark, path, "").count() == 2
 
 
+def test_clearing_a_store(spark, tmp_path):
+    main = spark.createDataFrame([(1, 1, "main", "a.py", 1, 2, "text")], "change_id long, position int, step_type string, file_path string, start_line int, end_line int, explanation string")
+    path = str(tmp_path / "store")
+    store.write_store(store.store_of(main, "bug", "t"), path)
+    store.clear_store(spark, path)
+    assert [r.explanation for r in store.explained(main, store.read_store(spark, path, "bug")).collect()] == [store.PLACEHOLDER]
+
+
+def test_written_report(spark, tmp_path):
+    schema = "change_id long, position int, step_id string, step_type string, file_path string, start_line int, end_line int, change_kind string, definition_name string, definition_type string, diff_text string, label string, explanation string"
+    rows = [(1, 2, "main-1", "main", "a.py", 3, 4, "global", "G", "variable", "+G = 1", None, None), (1, 1, "bg-1", "background", "a.py", 1, 1, None, None, None, None, "C", "why")]
+    store.write_report(store.report(spark.createDataFrame(rows, schema)), str(tmp_path / "report"))
+    (text,) = (tmp_path / "report" / "change_id=1").glob("*.txt")
+    want = "Steps: 2\n\nSTEP bg-1\nType: background\nFile: a.py\nRange: 1-1\nLabel: C\nExplanation:\nwhy\n---\nSTEP main-1\nType: main\nFile: a.py\nRange: 3-4\nChangeKind: global\nDefinitionName: G\nDefinitionType: variable\nDiffText:\n+G = 1\nExplanation:\n(empty)\n---\n"
+    assert text.read_text() == want
+
+
+def test_requests_of_a_tour(spark):
+    from changeloom.plans import jobs
+
+    diff = HEAD + "@@ -2 +2 @@\n-    return 1\n+    return g(1)\n"
+    texts = lambda t: spark.createDataFrame([(1, "a.py", t)], "change_id long, file_path string, text string")
+    head, revised = texts("def f():\n    return 1\ndef g(x):\n    return x\n"), texts("def f():\n    return g(1)\ndef g(x):\n    return x\n")
+    tour = jobs.diff_tour(spark.createDataFrame([(1, diff)], "change_id long, diff_text string"), head, revised)
+    none = store.explanations(spark.createDataFrame([], store.STORE), "why")
+    got = {r.step_id: r.request for r in jobs.explanation_requests(tour, head, revised, none, "why").collect()}
+    assert set(got) == {"main-1", "bg-1"} and "Symbol: g" in got["bg-1"] and "return g(1)" in got["main-1"] and "return g(1)" not in got["bg-1"]
+    some = tour.main.select("change_id", F.lit("main|a.py|2-2").alias("key"), F.lit("told").alias("explanation"))
+    assert [r.step_id for r in jobs.explanation_requests(tour, head, revised, some, "why").collect()] == ["bg-1"]
+    assert jobs.explanation_requests(tour, head, revised, some, "why", whole_gate=True).count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "src" / "node_modules").mkdir(parents=True)
     for name in ("src/a.ts", "src/b.md", "src/node_modules/c.js", "src/d.mjs"):
@@ -137,6 +171,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "diffs" / "7.diff").write_text(HEAD + "@@ -1 +1 @@\n+a")
     (tmp_path / "diffs" / "8.diff").write_text(" \n")
     assert [r.change_id for r in store.read_diffs(spark, str(tmp_path / "diffs")).collect()] == [7]
+    odd = tmp_path / "a (b)+c" / "x"
+    (odd / "a (b)+c" / "x").mkdir(parents=True)
+    (odd / "a (b)+c" / "x" / "é +%20.py").write_text("x")
+    assert [r.file_path for r in store.read_sources(spark, str(odd)).collect()] == ["a (b)+c/x/é +%20.py"]
 
 
 def test_called_definition_tiers(spark):
