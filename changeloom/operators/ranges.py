@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,29 +49,37 @@ def innermost(points: DataFrame, definitions: DataFrame, line: str = "line_numbe
 _HEADERS = "change_id long, file_path string, start_line int, name string, kind string, end_line int"
 
 
-def header_ranges(lines: DataFrame) -> DataFrame:
-    """Every ``def`` and ``class`` line of Python texts with the last line of its indented body: one pass over the lines of a file."""
+def _read_headers(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows arrive file by file in the order of lines; only the headers that are open in the current file are held."""
+    names = [c.split()[0] for c in _HEADERS.split(", ")]
+    file, last = None, 0
+    opened: list[tuple[int, list]] = []
+    for part in parts:
+        found = []
+
+        def close(least: int) -> None:
+            while opened and opened[-1][0] >= least:
+                found.append([*opened.pop()[1], last])  # noqa: B023
 
-    def read(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("line_number")
-        found, opened, last = [], [], 0
-        for number, text in part[["line_number", "text"]].itertuples(index=False, name=None):
+        for change, path, number, text in part.itertuples(index=False, name=None):
+            if (change, path) != file:
+                close(0)
+                file = change, path
             plain = text.lstrip()
-            if not plain:
-                continue
-            indent = len(text) - len(plain)
-            while opened and opened[-1][0] >= indent:
-                opened.pop()[1][-1] = last
-            last = number
-            if m := _HEADER.match(plain):
-                found.append([*key, number, m[2], "class" if m[1] == "class" else "function", number])
-                opened.append((indent, found[-1]))
-        for _, own in opened:
-            own[-1] = last
-        return pd.DataFrame(found, columns=[c.split()[0] for c in _HEADERS.split(", ")])
-
-    slim = lines.select(F.col("change_id").cast("long").alias("change_id"), "file_path", "line_number", "text")
-    return slim.groupBy(*FILE).applyInPandas(read, _HEADERS)
+            if plain:
+                indent = len(text) - len(plain)
+                close(indent)
+                last = number
+                if m := _HEADER.match(plain):
+                    opened.append((indent, [change, path, number, m[2], "class" if m[1] == "class" else "function"]))
+        yield pd.DataFrame(found, columns=names)
+    yield pd.DataFrame([[*own, last] for _, own in opened], columns=names)
+
+
+def header_ranges(lines: DataFrame) -> DataFrame:
+    """Every ``def`` and ``class`` line of Python texts with the last line of its indented body: one shuffle by file and one pass over the lines."""
+    slim = lines.select(F.col("change_id").cast("long").alias("change_id"), "file_path", F.col("line_number").cast("int").alias("line_number"), "text")
+    return slim.repartition(*FILE).sortWithinPartitions(*FILE, "line_number").mapInPandas(_read_headers, _HEADERS)
 
 
 def enclosing_header(points: DataFrame, lines: DataFrame, line: str = "line_number") -> DataFrame:
