@@ -9,7 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm.blocks import PACK, blocks, by_document, mask, occurrences, places, rivals, windows
@@ -192,6 +192,74 @@ def repeats(docs: DataFrame, window: int = BYTES, run: int = ANCHOR) -> DataFram
     return out
 
 
+_MEMBERS = "group_id string, anchor long, doc_id long, at long, begin int, length int"
+
+
+def _groups(least: int) -> Callable[[pa.Table], pa.Table]:
+    def search(part: pa.Table) -> pa.Table:
+        part = part.sort_by("anchor")
+        anchor, ids, at, inner = (part.column(c).to_numpy() for c in ("anchor", "doc_id", "at", "inner"))
+        texts = part.column("text").to_pylist()
+        out = []
+        for group in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(anchor)) + 1):
+            members = group.tolist()
+            lefts, rights = [texts[m][: inner[m]][::-1] for m in members], [texts[m][inner[m] :] for m in members]
+            for k, (back, on, some) in enumerate(maximal_repeats(lefts, rights, least)):
+                out += [(f"{anchor[members[0]]}:{k}", anchor[m], ids[m], at[m], inner[m] - back, back + on) for m in (members[x] for x in some)]
+        return pa.Table.from_batches([rows(_MEMBERS, *(zip(*out, strict=True) if out else [[]] * 6))])
+
+    return search
+
+
+def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = BYTES, run: int = ANCHOR) -> DataFrame:
+    """Groups of repeated strings of ``window`` bytes or more with all their occurrences: ``group_id, length, n, doc_id, at``, a row per occurrence, ``at`` in bytes.
+
+    A group is as long as its bytes go on in the same places: bytes to the left or right differ between its occurrences, or are in a string of
+    ``window`` bytes that stands in further places too and so belongs to another, larger group. Under an anchor groups are the maximal repeats of the suffix array
+    (above GROUP blocks, strings counted by a shuffle), and blocks found more than once; an occurrence of a block is an occurrence of
+    what was found in its first one. Neighbouring groups with the same occurrences, compared by a hash of their places relative to the first, are joined. Ids, nulls and
+    repeated rows are as in ``remove_repeated_bytes``. The result has a row per occurrence of every group, which for
+    repeats nested in each other is many; it is not made where only bytes are removed.
+    """
+    docs = one_per_id(df, id_col, text_col)
+    found = occurrences(docs, "bytes", window, run)
+    distinct = blocks(found)
+    several = materialize(rivals(distinct))
+    few, many = several.where(F.col("rivals") <= GROUP), several.where(F.col("rivals") > GROUP)
+    schema = "anchor long, doc_id long, at long, inner int, text binary"
+    texts = docs.join(places(few), "doc_id").select("doc_id", "text", "spans").mapInArrow(partial(_contexts, window=window, schema=schema), schema)
+    task = F.pmod(F.xxhash64("anchor"), F.lit(max(1, math.ceil(several.count() / TASK))))
+    members = texts.groupBy(task.alias("task")).applyInArrow(_groups(window), _MEMBERS)
+    of = distinct.select("anchor", F.col("head.doc_id").alias("doc_id"), F.col("head.at").alias("at"), "content")
+    parts = members.join(of, ["anchor", "doc_id", "at"]).select("group_id", "anchor", "content", "begin", "length")
+    inside = parts.join(found, ["anchor", "content"]).select("group_id", "doc_id", (F.col("at") + F.col("begin")).alias("at"), "length")
+    whole = found.join(distinct.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    whole = whole.select(F.concat_ws("/", "anchor", "content").alias("group_id"), "doc_id", "at", (F.col("count") + window - 1).cast("int").alias("length"))
+    strings = windows(docs, many, "bytes", window).select(F.concat_ws("=", "anchor", "string").alias("group_id"), "doc_id", "at", F.lit(window).cast("int").alias("length"))
+    hot = found.join(many.select("anchor", "content", "head"), ["anchor", "content"]).where("doc_id <> head.doc_id or at <> head.at")
+    counted = strings.unionByName(_copies(strings, hot, window))
+    twice = counted.groupBy("group_id").count().where("count > 1").select("group_id")
+    every = materialize(inside.unionByName(whole).unionByName(counted.join(twice, "group_id", "left_semi")))
+    head = F.min(F.struct("doc_id", "at"))
+    first = every.groupBy("group_id").agg(head.alias("head"), F.first("length").alias("length"), F.count("*").alias("n"))
+    shape = F.sum(F.xxhash64("doc_id", F.col("at") - F.col("head.at")) % (1 << 40))
+    pieces = every.drop("length").join(first, "group_id").groupBy("group_id", "head", "length", "n").agg(shape.alias("shape"))
+    row = Window.partitionBy("head.doc_id", "n", "shape").orderBy("head.at", "length")
+    ends = F.max(F.col("head.at") + F.col("length")).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("head.at") > ends - (window - 1), F.lit(True)).cast("int")
+    joined = pieces.withColumn("opens", opens).withColumn("chain", F.sum("opens").over(row))
+    chains = joined.groupBy(F.col("head.doc_id").alias("doc"), "n", "shape", "chain").agg(F.min_by("group_id", F.col("head.at")).alias("group_id"), (F.max(F.col("head.at") + F.col("length")) - F.min("head.at")).cast("int").alias("length"))
+    return every.drop("length").join(chains.select("group_id", "length", "n"), "group_id").select("group_id", "length", "n", "doc_id", "at")
+
+
+def _copies(strings: DataFrame, hot: DataFrame, window: int) -> DataFrame:
+    """The strings of later occurrences of hot blocks: those of the first one, moved."""
+    moved = hot.select("doc_id", F.col("at").alias("to"), "count", F.col("head.doc_id").alias("from_id"), F.col("head.at").alias("from_at"))
+    s = strings.select("group_id", F.col("doc_id").alias("from_id"), F.col("at").alias("s_at"), "length")
+    both = moved.join(s, "from_id").where((F.col("s_at") >= F.col("from_at")) & (F.col("s_at") < F.col("from_at") + F.col("count")))
+    return both.select("group_id", "doc_id", (F.col("to") + F.col("s_at") - F.col("from_at")).alias("at"), "length")
+
+
 def _keep(parts: Iterator[pa.RecordBatch], window: int, schema: str) -> Iterator[pa.RecordBatch]:
     for part in parts:
         data, starts = text_bytes(part.column(1))

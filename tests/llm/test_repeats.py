@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import changeloom.llm.suffix as suffix
 from changeloom.llm.substring import digest, factors, remove_repeats
-from changeloom.llm.suffix import common_prefix, maximal_repeats, remove_repeated_bytes, repeated_ranges
+from changeloom.llm.suffix import common_prefix, maximal_repeats, remove_repeated_bytes, repeat_groups, repeated_ranges
 
 
 def brute_words(rows, n=20):
@@ -164,3 +164,38 @@ def test_nested_repeats_need_little_memory():
     found = repeated_ranges(lefts, rights, 400)
     assert tracemalloc.get_traced_memory()[1] < 100e6 and sum(map(bool, found)) > 2000
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("group", [4096, 2])
+def test_groups_hold_all_occurrences_at_full_length(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    rng = random.Random(12)
+    some = lambda n: bytes(rng.choice(b"abcd") for _ in range(n)).decode()
+    passages, whole = [some(n) for n in (30, 60, 200)], some(150)
+    rows = []
+    for i in range(30):
+        text = some(rng.randrange(40))
+        for p in rng.choices(passages, k=rng.randrange(3)):
+            lo, hi = sorted((rng.randrange(len(p) + 1), rng.randrange(len(p) + 1)))
+            text += p[lo:hi] + some(rng.randrange(20))
+        rows.append((i, text + (whole if i % 10 == 3 else "")))
+    texts, least = dict(rows), 20
+    where = {}
+    for i, t in texts.items():
+        for k in range(len(t) - least + 1):
+            where.setdefault(t[k : k + least], set()).add((i, k))
+    groups = {}
+    for r in repeat_groups(spark.createDataFrame(rows, "doc_id long, text string"), window=least, run=5).collect():
+        groups.setdefault((r.group_id, r.length, r.n), set()).add((r.doc_id, r.at))
+    assert max(length for _, length, _ in groups) >= 150
+    covered = set()
+    for (_, length, n), places in groups.items():
+        (string,) = {texts[i][at : at + length] for i, at in places}
+        assert len(string) == length >= least and n == len(places) > 1
+        assert places == {(i, k) for i, t in texts.items() for k in range(len(t) - length + 1) if t[k : k + length] == string}
+        for step, edge in ((-1, 0), (1, length - least)):  # one byte more on either side
+            more = {texts[i][at + edge + step : at + edge + step + least] if at + edge + step >= 0 else "" for i, at in places}
+            longer = next(iter(more))
+            assert len(more) > 1 or len(longer) < least or len(where[longer]) > n
+        covered |= {(i, at + k) for i, at in places for k in range(length - least + 1)}
+    assert covered == {p for places in where.values() if len(places) > 1 for p in places}
