@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -39,7 +40,20 @@ _FOUND = re.compile(
 _FULL = re.compile(rf"(?<!\w)({_WORD}+) ({_WORD}+(?:-{_WORD}+)?)(?!\w)")
 _PAIR = re.compile(rf"(?<!\w)(?={_WORD})[^a-zа-я\W\d_]{_WORD}+ [^a-zа-я\W\d_]{_WORD}+")
 _HINT = re.compile(r"[0-9@]")
-KINDS = ["email", "iban", "ip", "ssn", "card", "phone", "given", "surname"]
+_HEX = re.compile(r"[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![\w:])")
+#: Titles before a name that no list has.
+_TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Г-н|Г-жа)\.? ({_WORD}+) ({_WORD}+(?:-{_WORD}+)?)(?!\w)")
+_TITLE = re.compile(r"(?:M[rsi]|Dr|Prof|Г-)")
+KINDS = ["email", "iban", "ip", "ipv6", "ssn", "card", "phone", "given", "name", "surname"]
+
+
+def _is_ipv6(raw: str) -> bool:
+    try:
+        ipaddress.IPv6Address(raw)
+    except ValueError:
+        return False
+    return True
 
 
 def luhn(digits: str) -> int:
@@ -62,8 +76,10 @@ def canonical(kind: str, raw: str) -> str:
     """What two mentions of one entity share: punctuation and, for mail, case do not count."""
     if kind == "email":
         return raw.lower()
-    if kind in ("given", "surname", "ip"):
-        return raw
+    if kind in ("given", "name", "surname"):
+        return raw.title() if raw.isupper() and len(raw) > 1 else raw
+    if kind in ("ip", "ipv6"):
+        return raw.lower()
     return re.sub(r"[^0-9A-Za-z]", "", raw)
 
 
@@ -81,14 +97,22 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             if kind == "phone" and not (9 <= len(digits) <= 15 and (raw[0] in "+(" or "(" in raw or len(re.findall(r"[ .-]", raw)) >= 2)):
                 continue
             out.append((m.start(), m.end(), kind))
+        if _HEX.search(text):
+            out += [(m.start(), m.end(), "ipv6") for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
     surnames: set[str] = set()
     if _PAIR.search(text):
         at = 0
         while m := _FULL.search(text, at):
             at = m.start(2)
-            if m[1] in _LIST and m[2][0].isupper() and m[2] not in _LIST and script_of(m[1]) == script_of(m[2]):
+            first, last = canonical("given", m[1]), canonical("surname", m[2])
+            if first in _LIST and m[1].isupper() == m[2].isupper() and m[2][0].isupper() and last not in _LIST and script_of(m[1]) == script_of(m[2]):
                 out += [(m.start(1), m.end(1), "given"), (m.start(2), m.end(2), "surname")]
                 surnames.add(m[2])
+        if _TITLE.search(text):
+            for m in _TITLED.finditer(text):
+                if m[1][0].isupper() and m[2][0].isupper() and canonical("given", m[1]) not in _LIST and script_of(m[1]) == script_of(m[2]):
+                    out += [(m.start(1), m.end(1), "name"), (m.start(2), m.end(2), "surname")]
+                    surnames.add(m[2])
     if surnames:
         taken = {s for s, _, _ in out}
         again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(surnames)))})(?!\w)")
@@ -152,7 +176,9 @@ class Surrogates:
             return f"{value[:2]}{98 - _iban_rest(value[:2] + '00' + rest):02d}{rest}"
         if kind == "given":
             return self.order[value]
-        if kind == "surname":
+        if kind == "ipv6":
+            return "".join("0123456789abcdef"[next(stream) % 16] if c != ":" else c for c in value)
+        if kind in ("name", "surname"):
             ending = next((e for e in ENDINGS if value.endswith(e) and len(value) > len(e) + 1), "")
             hard, soft = SYLLABLES[script_of(value)]
             stem = max(3, len(value) - len(ending)) + attempt
@@ -165,8 +191,10 @@ class Surrogates:
 
     def written(self, kind: str, raw: str, new: str) -> str:
         """A canonical surrogate in the format of a mention."""
-        if kind in ("given", "surname", "ip"):
-            return new
+        if kind in ("given", "name", "surname"):
+            return new.upper() if raw.isupper() and len(raw) > 1 else new
+        if kind in ("ip", "ipv6"):
+            return new.upper() if raw.isupper() else new
         if kind == "email":
             return new.upper() if raw.isupper() else new
         letters = iter(new)
@@ -250,8 +278,8 @@ def collisions(mentions: DataFrame, key: bytes, most: int = 60) -> DataFrame:
 def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns and rows of a table with the entities in its texts replaced, and ``n_entities`` and ``entities`` (kind:start:end in the input, comma-joined).
 
-    Found are mail addresses, IBANs, IPv4 addresses, social security, card and phone numbers, and names that begin with a
-    known given name; a surname of a text is found again in that text. A surrogate depends on the key and the value, so all mentions of an entity, in any text and any
+    Found are mail addresses, IBANs, IPv4 and IPv6 addresses, social security, card and phone numbers, names that begin with a
+    known given name, in capitals too, and names after a title; a surname of a text is found again in that text. A surrogate depends on the key and the value, so all mentions of an entity, in any text and any
     punctuation, get one surrogate; it keeps kind, length and format, a card's checksum, a name's gender and script. Two values
     never share one, and none is a value of the corpus, but for given names, which are permuted within their list. A null text stays null and an empty one empty;
     null ids and repeated rows stay. A column named as an added one is replaced.

@@ -22,6 +22,15 @@ def test_kinds():
         assert kinds(clean) == []
 
 
+def test_more_names_and_addresses():
+    assert kinds("MARY SMITH met Dr. Priya Sharma; SMITH, Sharma") == [("MARY", "given"), ("SMITH", "surname"), ("Priya", "name"), ("Sharma", "surname"), ("SMITH", "surname"), ("Sharma", "surname")]
+    assert kinds("at 2001:db8::ff00:42:8329 and fe80:0:0:0:1:2:3:4, not 12:34:56 or a::b") == [("2001:db8::ff00:42:8329", "ipv6"), ("fe80:0:0:0:1:2:3:4", "ipv6")]
+    make = Surrogates(b"k")
+    new = make.replace("MARY SMITH, Mary Smith, 2001:DB8::1:2", entities("MARY SMITH, Mary Smith, 2001:DB8::1:2"), {})
+    a, b, c = new.split(", ")
+    assert a.isupper() and a.title() == b and re.fullmatch("[0-9A-F]{4}:[0-9A-F]{3}::[0-9A-F]:[0-9A-F]", c) and "MARY" not in a
+
+
 def test_surrogates_keep_kind_and_format():
     make = Surrogates(b"k")
     for text in ("bo.42@mail8.example.com", "+1 (386) 555-3733", "4041894974608795", "4111 1111 1111 1111", "42.144.35.254", "123-45-6789", "DE89 3704 0044 0532 0130 00"):
