@@ -123,7 +123,7 @@ class Corpus:
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _written:
-            _written[key] = settle(make())
+            _written[key] = settle(make().repartition(max(8, self.spark.sparkContext.defaultParallelism)))  # small tables would be one file, and what reads them one task
         return _written[key]
 
     def fx(self, name: str) -> DataFrame:
