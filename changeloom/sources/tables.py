@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +26,27 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def per_file(df: DataFrame, order: list[str], handle: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """What a function makes of the rows of each file, in an order: one shuffle by file, then a pass over sorted rows that holds one file at a time.
+
+    ``df`` begins with ``change_id, file_path``; the function gets the other columns and its rows are put behind these two.
+    """
+    file = ["change_id", "file_path"]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        held: list[tuple] = []
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False, name=None):
+                if row[:2] != key:
+                    out += [(*key, *r) for r in handle(held)] if held else []
+                    key, held = row[:2], []
+                held.append(row[2:])
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([(*key, *r) for r in handle(held)] if held else [], columns=names)
+
+    return df.repartition(*file).sortWithinPartitions(*file, *order).mapInPandas(run, schema)
