@@ -18,14 +18,30 @@ from changeloom.llm.common import materialize, row_keys, rows
 
 #: Given names by script and gender. A surrogate comes from the same list.
 GIVEN = {
-    ("latin", "female"): "Alice Amelia Anna Barbara Camille Carla Carmen Caroline Catherine Charlotte Clara Diana Elena Elizabeth Emily Emma Eva Frieda Hannah Helen Ingrid Isabel Jane Jennifer Jessica Julia Karen Laura Linda Lucia Margaret Maria Martha Mary Monika Nicole Olivia Patricia Rebecca Sandra Sarah Sofia Susan Teresa Ursula Victoria".split(),
-    ("latin", "male"): "Adam Alexander Andrew Anthony Antonio Arthur Carlos Charles Christopher Daniel David Diego Edward Eric Felix Frank George Hans Henry Jacques James Jan John Jonathan Jose Joseph Juan Karl Kevin Klaus Louis Luis Marco Martin Matthew Michael Miguel Nicholas Oliver Patrick Paul Peter Pierre Richard Robert Stefan Steven Thomas Walter William".split(),
+    ("latin", "female"): "Aisha Alice Amelia Ananya Anna Barbara Camille Carla Carmen Caroline Catherine Charlotte Clara Diana Elena Elizabeth Emily Emma Eva Fatima Frieda Hannah Helen Ingrid Isabel Jane Jennifer Jessica Julia Karen Lakshmi Laura Leila Linda Lucia Margaret Maria Martha Mary Monika Nicole Olivia Patricia Pooja Rebecca Sandra Sarah Sofia Susan Teresa Ursula Victoria Yasmin Yuki Zainab".split(),
+    ("latin", "male"): "Adam Ahmed Alexander Amit Andrew Anthony Antonio Arjun Arthur Carlos Charles Chidi Christopher Daniel David Diego Edward Eric Felix Frank George Hans Hassan Henry Hiroshi Ibrahim Jacques James Jan John Jonathan Jose Joseph Juan Karl Kenji Kevin Klaus Kwame Louis Luis Marco Martin Matthew Michael Miguel Mohammed Nicholas Oliver Omar Patrick Paul Peter Pierre Rahul Rajesh Richard Robert Stefan Steven Thomas Walter Wei William".split(),
     ("cyrillic", "female"): "Анна Вера Галина Екатерина Елена Ирина Людмила Мария Надежда Наталья Ольга Светлана Татьяна Юлия".split(),
     ("cyrillic", "male"): "Алексей Андрей Борис Владимир Дмитрий Иван Игорь Михаил Николай Олег Павел Пётр Сергей Юрий".split(),
+    ("greek", "female"): "Δήμητρα Ελένη Κατερίνα Μαρία Σοφία".split(),
+    ("greek", "male"): "Γιάννης Γιώργος Δημήτρης Κώστας Νίκος".split(),
+    ("arabic", "female"): "زينب عائشة فاطمة مريم".split(),
+    ("arabic", "male"): "أحمد حسن عمر محمد".split(),
+    ("hebrew", "female"): "מרים רחל שרה".split(),
+    ("hebrew", "male"): "אברהם דוד משה".split(),
+    ("devanagari", "female"): "अनन्या प्रिया लक्ष्मी सीता".split(),
+    ("devanagari", "male"): "अमित अर्जुन राजेश राहुल".split(),
+    ("han", "female"): "桂英 晓梅 秀英 丽娜".split(),
+    ("han", "male"): "国强 建国 建华 志强".split(),
+    ("hangul", "female"): "민지 서연 수진 지영".split(),
+    ("hangul", "male"): "민준 영호 지훈 철수".split(),
 }
+#: Family names that stand before a given name without a space.
+FAMILY = {("han", "family"): list("陈黄李刘孙王吴徐杨张赵周朱"), ("hangul", "family"): list("강김박윤이임장정조최")}
 #: Surname endings that tell gender, and the letters that surrogate surnames are made of.
-ENDINGS = ("ovna", "ová", "ova", "eva", "ina", "skaya", "ska", "ov", "ev", "in", "sky", "ski", "ова", "ева", "ина", "ская", "ов", "ев", "ин", "ский")
-SYLLABLES = {"latin": ("bcdfghklmnprstvw", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу")}
+ENDINGS = ("ovna", "ová", "ova", "eva", "ina", "skaya", "ska", "ov", "ev", "in", "sky", "ski", "ова", "ева", "ина", "ская", "ов", "ев", "ин", "ский", "οπούλου", "όπουλος", "ίδου", "ίδης", "άκης")
+SYLLABLES = {"latin": ("bcdfghklmnprstvw", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу"), "greek": ("βγδζκλμνπρστφ", "αεηιου")}
+#: Letters of a script: first and last code point.
+SCRIPTS = {"greek": ("\u0370", "\u03ff"), "cyrillic": ("\u0400", "\u04ff"), "hebrew": ("\u0590", "\u05ff"), "arabic": ("\u0600", "\u06ff"), "devanagari": ("\u0900", "\u097f"), "han": ("\u4e00", "\u9fff"), "hangul": ("\uac00", "\ud7a3")}
 
 _LIST = {name: key for key, names in GIVEN.items() for name in names}
 _WORD = r"[^\W\d_]"
@@ -45,6 +61,11 @@ _IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(
 #: Titles before a name that no list has.
 _TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Г-н|Г-жа)\.? ({_WORD}+) ({_WORD}+(?:-{_WORD}+)?)(?!\w)")
 _TITLE = re.compile(r"(?:M[rsi]|Dr|Prof|Г-)")
+#: Scripts without capitals: given names that stand as words, and family and given name in one.
+_CASELESS = [s for s in SCRIPTS if s in ("hebrew", "arabic", "devanagari")]
+_NO_CASE = re.compile("[" + "".join(f"{low}-{high}" for s, (low, high) in SCRIPTS.items() if s not in ("greek", "cyrillic")) + "]")
+_ALONE = re.compile("|".join(f"(?<![{'-'.join(SCRIPTS[s])}])(?:{'|'.join(GIVEN[s, 'female'] + GIVEN[s, 'male'])})(?![{'-'.join(SCRIPTS[s])}])" for s in _CASELESS))
+_JOINED = re.compile("|".join(f"{before}[{''.join(FAMILY[s, 'family'])}](?:{'|'.join(GIVEN[s, 'female'] + GIVEN[s, 'male'])})" for s, before in (("han", ""), ("hangul", "(?<![가-힣])"))))
 KINDS = ["email", "iban", "ip", "ipv6", "ssn", "card", "phone", "given", "name", "surname"]
 
 
@@ -69,7 +90,7 @@ def _iban_rest(code: str) -> int:
 
 
 def script_of(word: str) -> str:
-    return "cyrillic" if "Ѐ" <= word[:1] <= "ӿ" else "latin"
+    return next((name for name, (low, high) in SCRIPTS.items() if low <= word[:1] <= high), "latin")
 
 
 def canonical(kind: str, raw: str) -> str:
@@ -113,6 +134,10 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 if m[1][0].isupper() and m[2][0].isupper() and canonical("given", m[1]) not in _LIST and script_of(m[1]) == script_of(m[2]):
                     out += [(m.start(1), m.end(1), "name"), (m.start(2), m.end(2), "surname")]
                     surnames.add(m[2])
+    if not text.isascii() and _NO_CASE.search(text):
+        out += [(m.start(), m.end(), "given") for m in _ALONE.finditer(text)]
+        for m in _JOINED.finditer(text):
+            out += [(m.start(), m.start() + 1, "given"), (m.start() + 1, m.end(), "given")]
     if surnames:
         taken = {s for s, _, _ in out}
         again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(surnames)))})(?!\w)")
@@ -132,7 +157,7 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
         self.order = {}
-        for of, names in GIVEN.items():
+        for names in (*GIVEN.values(), *FAMILY.values()):
             ring = sorted(names, key=lambda n: hmac.digest(key, f"order|{n}".encode(), "sha256"))
             self.order |= {a: b for a, b in zip(ring, ring[1:] + ring[:1], strict=True)}
 
@@ -279,9 +304,10 @@ def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text_col:
     """All columns and rows of a table with the entities in its texts replaced, and ``n_entities`` and ``entities`` (kind:start:end in the input, comma-joined).
 
     Found are mail addresses, IBANs, IPv4 and IPv6 addresses, social security, card and phone numbers, names that begin with a
-    known given name, in capitals too, and names after a title; a surname of a text is found again in that text. A surrogate depends on the key and the value, so all mentions of an entity, in any text and any
+    known given name, in capitals too, and names after a title; a surname of a text is found again in that text. Where a script has no
+    capitals, a known given name is found as a word by itself (Hebrew, Arabic, Devanagari) or behind a known family name (Han, Hangul); other words of a name stay there. A surrogate depends on the key and the value, so all mentions of an entity, in any text and any
     punctuation, get one surrogate; it keeps kind, length and format, a card's checksum, a name's gender and script. Two values
-    never share one, and none is a value of the corpus, but for given names, which are permuted within their list. A null text stays null and an empty one empty;
+    never share one, and none is a value of the corpus, but for listed given and family names, which are permuted within their list. A null text stays null and an empty one empty;
     null ids and repeated rows stay. A column named as an added one is replaced.
 
     Surrogates are computed where the text is read. Only values that collided are joined in, by document; adaptive

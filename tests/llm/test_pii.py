@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from changeloom.llm.pii import GIVEN, Surrogates, canonical, entities, luhn, replace_entities
+from changeloom.llm.pii import GIVEN, Surrogates, canonical, entities, luhn, replace_entities, script_of
 
 
 def kinds(text):
@@ -31,6 +31,23 @@ def test_more_names_and_addresses():
     assert a.isupper() and a.title() == b and re.fullmatch("[0-9A-F]{4}:[0-9A-F]{3}::[0-9A-F]:[0-9A-F]", c) and "MARY" not in a
 
 
+def test_scripts():
+    assert kinds("Ελένη Παπαδοπούλου; Παπαδοπούλου") == [("Ελένη", "given"), ("Παπαδοπούλου", "surname"), ("Παπαδοπούλου", "surname")]
+    assert kinds("قال محمد ومحمود") == [("محمد", "given")] and kinds("שלום דוד") == [("דוד", "given")] and kinds("प्रिया और राहुल") == [("प्रिया", "given"), ("राहुल", "given")]
+    assert kinds("他叫王志强。") == [("王", "given"), ("志强", "given")] and kinds("김민준은") == [("김", "given"), ("민준", "given")]
+    assert kinds("Ananya Sharma, Mohammed Ali, Wei Zhang")[1::2] == [("Sharma", "surname"), ("Ali", "surname"), ("Zhang", "surname")]
+    assert kinds("强国 大王 민준 अमितता") == []
+    make = Surrogates(b"k")
+    for text in ("Ελένη Παπαδοπούλου", "محمد", "דוד", "प्रिया", "王志强", "김민준"):
+        found = entities(text)
+        new = make.replace(text, found, {})
+        assert new != text and [k for _, _, k in entities(new)] == [k for _, _, k in found] and script_of(new) == script_of(text)
+        if len(found) == 1:
+            assert next(k for k, v in GIVEN.items() if new in v) == next(k for k, v in GIVEN.items() if text in v)
+    assert make.replace("Ελένη Παπαδοπούλου", entities("Ελένη Παπαδοπούλου"), {}).endswith("οπούλου")
+    assert sum(map(len, GIVEN.values())) == len({n for v in GIVEN.values() for n in v}) <= 200
+
+
 def test_surrogates_keep_kind_and_format():
     make = Surrogates(b"k")
     for text in ("bo.42@mail8.example.com", "+1 (386) 555-3733", "4041894974608795", "4111 1111 1111 1111", "42.144.35.254", "123-45-6789", "DE89 3704 0044 0532 0130 00"):
