@@ -172,9 +172,10 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a batch of texts: where each begins and ends, its text, its hash, and the first word of each text."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, lower: bool = False, ink: np.ndarray = ~_SPACE):
+        """``ink`` says of each byte whether it belongs to a word."""
         texts = len(starts) - 1
-        ink = ~_SPACE[data]
+        ink = ink[data]
         begin, end = ink.copy(), ink.copy()
         begin[1:] &= ~ink[:-1]
         end[:-1] &= ~ink[1:]
