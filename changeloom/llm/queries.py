@@ -94,6 +94,13 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changeloom.llm.convnet import fit, score_documents
+
+    documents = table(spark, sf_dir, "documents")
+    return score_documents(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
