@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 #: A name with no word character on either side, ASCII only.
 WHOLE_NAME = rf"(?<![A-Za-z0-9_])({NAME})(?![A-Za-z0-9_])"
-DOTTED_NAME = rf"(?<![A-Za-z0-9_])({NAME}(?:\.{NAME})+)(?![A-Za-z0-9_])"
+DOTTED_NAME = rf"(?<![A-Za-z0-9_])({NAME}(?:\.{NAME})++)(?![A-Za-z0-9_])"
+#: A quoted string of a line: up to the first quote that no backslash escapes, or without one up to the last quote. Possessive, so long strings take no stack and no second try.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|"[^"]*+(?:"(?=[^"]*+")[^"]*+)*+"|' + r"'[^'\\]*+(?:\\.[^'\\]*+)*+'|'[^']*+(?:'(?=[^']*+')[^']*+)*+'"
 HUNK = r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
-#: Words that are never references. The first set is for graphs and order, the second for the repository index, the third is added for Python there.
+#: Words that are never references. The first set is for graphs and order; the repository index lacks the second and has the third besides; the fourth is added for Python there.
 GRAPH_WORDS = "if for while return const let var function class def async await new import from export as this self true false null undefined".split()
-INDEX_WORDS = "if for while return def class async await new import from export as this self true false null none undefined".split()
+DECLARING_WORDS = "const let var function".split()
+INDEX_WORDS = [w for w in GRAPH_WORDS if w not in DECLARING_WORDS] + ["none"]
 PYTHON_WORDS = "in with and or".split()
 
 BACKGROUND_GUIDANCE = "Say what this code did before the change, and how the change depends on it."
@@ -96,7 +99,7 @@ def definition_header(line: Column, lang: Column) -> Column:
 
 def blank_strings(line: Column) -> Column:
     """Each quoted string becomes one blank; template literals stay."""
-    return F.regexp_replace(line, r'"(?:\\.|[^"])*"|' + r"'(?:\\.|[^'])*'", " ")
+    return F.regexp_replace(line, STRING, " ")
 
 
 def blank_code(line: Column, lang: Column) -> Column:

@@ -8,29 +8,53 @@ from pyspark.sql import functions as F
 from changeloom.functions import text as T
 
 
+#: A line end before a line that opens a hunk: any line with a hunk header but one that names a file.
+_OPENS = rf"\r?\n(?!\+\+\+ |diff --git )(?=[^\n]*?{T.HUNK})"
+_NAMES = r"(?:^|\n)\+\+\+ ([^\n]*)"
+
+
+def _hunks_of(sections: Column) -> Column:
+    """The hunks of file sections as an array of ``path, header, diff_text``, by passes over the pieces of each.
+
+    A section is cut before each line that opens a hunk. A piece says which file it names last, and a hunk's file is the last named in it or before.
+    What a step has found is an element of the next one's array, so that it is not found again for every piece.
+    """
+    none = F.array(F.lit(None).cast("string"))
+    pieces = F.transform(sections, lambda s: F.split(F.concat(F.lit("\n"), s), _OPENS, -1))
+
+    def marked(some: Column) -> Column:
+        named = F.transform(some, lambda p, i: F.struct(i.alias("at"), F.element_at(F.concat(none, F.regexp_extract_all(p, F.lit(_NAMES), F.lit(1))), -1).alias("path")))
+        return F.struct(some.alias("pieces"), F.filter(named, lambda m: m["path"].isNotNull()).alias("marks"))
+
+    def told(piece: Column, at: Column, marks: Column) -> Column:
+        path = T.trim(F.element_at(F.concat(none, F.transform(F.filter(marks, lambda m: m["at"] <= at), lambda m: m["path"])), -1))
+        return F.struct(F.nullif(path, F.lit("/dev/null")).alias("path"), F.filter(T.lines(piece), lambda line: ~line.startswith("+++ ")).alias("lines"))
+
+    found = F.transform(F.transform(pieces, marked), lambda s: F.slice(F.transform(s["pieces"], lambda p, i: told(p, i, s["marks"])), F.lit(2), F.greatest(F.size(s["pieces"]) - 1, F.lit(0))))
+    return F.transform(F.flatten(found), lambda h: F.struct(h["path"].alias("path"), F.get(h["lines"], F.lit(0)).alias("header"), F.array_join(h["lines"], "\n").alias("diff_text")))
+
+
 def parse_hunks(diffs: DataFrame, root: str = "/work/repo") -> DataFrame:
     """``change_id, hunk_seq, file_path, start_line, end_line, diff_text``: a row per hunk of the new side.
 
-    A text is cut before each ``diff --git`` line, which resets all state, so a window spans one file section and not
-    a whole change set. Any line that holds a hunk header begins a hunk; a ``+++`` line names the file from there on, even inside a
+    A text is cut before each ``diff --git`` line, which resets all state, and parsed in its row: nothing is shuffled. Any line that holds a hunk header begins a hunk; a ``+++`` line names the file from there on, even inside a
     hunk, and is no part of one. A hunk's file is the last named at its last line; hunks of deleted files, of files outside
     ``root`` and of Markdown files are dropped. Blank texts have no hunks.
+
+    A change set may be in several rows with a ``part`` that orders them, as ``read_diffs`` gives it; then only the counts of hunks of its parts meet.
     """
-    sections = diffs.where(T.trim("diff_text") != "").select("change_id", F.posexplode(F.split("diff_text", r"\r?\n(?=diff --git )", -1)).alias("section", "body"))
-    each = sections.select("change_id", "section", F.posexplode(T.lines(F.col("body"))).alias("pos", "line"))
-    line = F.col("line")
-    is_path, is_reset = line.startswith("+++ "), line.startswith("diff --git ")
-    raw = T.trim(F.regexp_replace(line, r"^\+\+\+ ", ""))
-    named = F.when(is_path, F.struct(F.when(raw != "/dev/null", raw).alias("path")))
-    here = Window.partitionBy("change_id", "section").orderBy("pos")
-    flags = each.withColumn("opens", line.rlike(T.HUNK) & ~is_path & ~is_reset).withColumns({"hunk": F.sum(F.col("opens").cast("int")).over(here), "named": F.last(named, ignorenulls=True).over(here), "inside": ~is_path & ~is_reset})
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("inside"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    found = flags.where("hunk > 0").groupBy("change_id", "section", "hunk").agg(F.max_by("named.path", "pos").alias("path"), F.min_by("line", "pos").alias("header"), body.alias("diff_text"))
+    sections = F.split("diff_text", r"\r?\n(?=diff --git )", -1)
+    found = diffs.where(T.trim("diff_text") != "").withColumn("hunks", _hunks_of(sections))
+    if "part" in diffs.columns:
+        before = Window.partitionBy("change_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = found.select("change_id", "part", F.size("hunks").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        found = found.join(counts.drop("n"), ["change_id", "part"])
+    else:
+        found = found.withColumn("before", F.lit(0))
+    each = found.select("change_id", "before", F.posexplode("hunks").alias("at", "h")).select("change_id", (F.col("before") + F.col("at") + 1).cast("int").alias("hunk_seq"), "h.*")
     start = F.greatest(F.lit(1), F.regexp_extract("header", T.HUNK, 1).cast("int"))
     length = F.coalesce(F.nullif(F.regexp_extract("header", T.HUNK, 2), F.lit("")).cast("int"), F.lit(1))
-    order = Window.partitionBy("change_id").orderBy("section", "hunk")
-    numbered = found.select("change_id", F.row_number().over(order).alias("hunk_seq"), T.relative_path(F.col("path"), root).alias("file_path"), start.alias("start_line"), F.greatest(start, start + length - 1).alias("end_line"), "diff_text")
-    return keep_paths(numbered)
+    return keep_paths(each.select("change_id", "hunk_seq", T.relative_path(F.col("path"), root).alias("file_path"), start.alias("start_line"), F.greatest(start, start + length - 1).alias("end_line"), "diff_text"))
 
 
 def keep_paths(hunks: DataFrame) -> DataFrame:

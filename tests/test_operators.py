@@ -1,11 +1,12 @@
 """Literal cases of hunks, ranges, groups, order and stores."""
 
+import random
 import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from changeloom.operators import graph, ranges, source, steps
+from changeloom.operators import graph, ranges, script, source, steps
 from changeloom.operators.hunks import added_lines, line_runs, parse_hunks
 from changeloom.sources import store
 
@@ -33,6 +34,29 @@ def test_hunk_state(spark):
     assert hunks(spark, HEAD.replace("+++ b/a.py", "+++ /elsewhere/a.py") + "@@ -1 +1 @@\n+a") == []
 
 
+def test_hunks_are_parsed_in_their_row(spark):
+    """No shuffle before the numbers of hunks; a file of many hunks and several parts of a change number on."""
+    one = spark.createDataFrame([(1, HEAD + "@@ -1 +1 @@\n+a\n" * 3)], "change_id long, diff_text string")
+    plan = parse_hunks(one)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    parts = spark.createDataFrame([(1, 20, "\n"), (1, 30, HEAD + "@@ -1 +1 @@\n+a\n@@ -3 +3 @@\n+b"), (1, 7, HEAD.replace("a.py", "/dev/null") + "@@ -1 +1 @@\n+c"), (2, 5, HEAD + "@@ -9 +9 @@\n+d\r\n")], "change_id long, part int, diff_text string")
+    assert sorted((r.change_id, r.hunk_seq, r.start_line, r.diff_text) for r in parse_hunks(parts).collect()) == [(1, 2, 1, "@@ -1 +1 @@\n+a"), (1, 3, 3, "@@ -3 +3 @@\n+b"), (2, 1, 9, "@@ -9 +9 @@\n+d\n")]
+    long = spark.createDataFrame([(1, HEAD + "@@ -1 +1 @@\n+x\n" * 20_000 + "+" + "@" * 300_000 + "\n")], "change_id long, diff_text string")
+    began = time.time()
+    assert parse_hunks(long).where("hunk_seq = 20000 and length(diff_text) > 300000").count() == 1 and time.time() - began < 30
+
+
+def test_strings_of_a_megabyte_on_an_executor(spark):
+    """No pattern may need a stack frame per character: an overflow ends the whole process."""
+    shapes = ['"' + "a" * 1_000_000 + '"', '"' + '\\"' * 400_000, "'" + "\\x" * 400_000, '"' * 500_001, "f(" + "a." * 400_000 + "b)", "x" * 1_000_000]
+    units = spark.createDataFrame([(1, "a.js", k, f"@@ -1 +1 @@\n+let v{k} = {x}") for k, x in enumerate(shapes)], "change_id long, file_path string, unit_seq int, diff_text string")
+    got = graph.identifiers(units).repartition(2).groupBy("unit_seq").count().collect()
+    assert len(got) == len(shapes)
+    lines = spark.createDataFrame([(1, "a.js", k + 1, x) for k, x in enumerate(shapes)], "change_id long, file_path string, line_number int, text string")
+    uses = ranges.references(units.selectExpr("change_id", "file_path", "unit_seq", "unit_seq + 1 as start_line", "unit_seq + 1 as end_line"), lines)
+    assert uses.repartition(2).groupBy("unit_seq").count().count() == 3
+
+
 def test_added_lines(spark):
     df = spark.createDataFrame([(1, 1, "a.py", "@@ -0,0 +1,3 @@\n+a\n+++b\n+c")], "change_id long, hunk_seq int, file_path string, diff_text string")
     assert [(r.line_number, r.text) for r in added_lines(df).orderBy("pos").collect()] == [(1, "a"), (2, "c")]
@@ -62,21 +86,47 @@ def test_enclosing_header(spark):
 
 
 def test_variable_ranges():
-    lines = ["G = [", "  1,", "]", 'S = """a', 'b"""', "t = (1)"]
-    assert [source.variable_end(lines, k) for k in (0, 3, 5)] == [2, 4, 5]
+    lines = ["G = [", "  1,", "]", 'S = """a', 'b"""', "t = (1)", 'u = f("""x""",', ")", "v = (", ") \\", "[", "]", "w = {"]
+    assert [r[-1] - 1 for r in source._variables("\n".join(lines))] == [2, 4, 5, 6, 11, 12]
+
+
+def _plain_end(lines, at):
+    balance = 0
+    for j in range(at, len(lines)):
+        plain = lines[j].split("#")[0]
+        balance += sum(map(plain.count, "([{")) - sum(map(plain.count, ")]}"))
+        if balance <= 0 and (j == at or not lines[j].strip().endswith("\\")):
+            return j
+    return len(lines) - 1
+
+
+def test_variable_ranges_against_a_forward_scan():
+    rng = random.Random(4)
+    for _ in range(300):
+        lines = ["x = " * rng.randint(0, 1) + "".join(rng.choice("()[]a #\\") for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 30))]
+        begins = [k for k, line in enumerate(lines) if line.startswith("x = ")]
+        ends = source.VariableEnds(lines, begins)
+        assert [ends.end(k) for k in begins] == [_plain_end(lines, k) for k in begins]
+
+
+def test_variable_ranges_of_unclosed_lines():
+    for line in ("x = [", 'y = """', "z = [ \\", "w = {}"):
+        began = time.process_time()
+        assert len(list(source._variables("\n".join([line] * 100_000)))) == 100_000
+        assert time.process_time() - began < 4
 
 
 def test_script_source(spark):
     text = "class A {\n  run(x) {\n    return this.b().c(x);\n  }\n}\nexport const g = (a) => {\n  return new X(a);\n};\nlet z = 1;\n"
     rows = source.analyze(spark.createDataFrame([(1, "f.ts", text)], "change_id long, file_path string, text string"))
     assert [(r.name, r.qualified_name, r.kind, r.start_line, r.end_line) for r in source.definitions(rows).orderBy("def_seq").collect()] == [("A", "A", "class", 1, 5), ("run", "A.run", "method", 2, 4), ("g", "g", "function", 6, 8)]
-    assert [(r.name, r.start_line) for r in source.script_globals(rows).collect()] == [("g", 6), ("z", 9)]
+    assert [(r.name, r.start_line) for r in source.script_globals(rows).orderBy("start_line").collect()] == [("g", 6), ("z", 9)]
 
 
 def test_script_of_a_megabyte():
     text = "class A {\n  run(x) { return this.b(x).c({ y: [x] }); }\n}\nconst g = async (a) => {\n  return new X(a);\n};\nlet z = [\n  1 ];\n" * 9000
     began = time.process_time()
-    rows = list(source._script(text))
+    rows = list(script.read(text))
     assert time.process_time() - began < 10 and len(text) > 1_000_000
     assert Counter(r[0] for r in rows) == {"definition": 27_000, "call": 18_000, "global": 18_000}
     assert rows[26_999][-2:] == (9000 * 8 - 4, 9000 * 8 - 2)
