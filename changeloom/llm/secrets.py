@@ -13,8 +13,8 @@ ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]{24,}"
 #: Further candidates: tokens with a known prefix, and long mixed runs.
 KNOWN = r"(?:gh[pousr]_[A-Za-z0-9]{20,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|[A-Za-z0-9+/_-]{32,}={0,2})"
 KINDS = ["assign", "access", "hex", "live"]
-#: A value of more owners is an example that was copied; an unlisted one needs so many different characters to look live.
-MOST_OWNERS, LEAST_KINDS = 2, 12
+#: A value of more owners, or in more repositories for each of its owners, is an example that was copied; an unlisted one needs so many different characters to look live.
+MOST_OWNERS, MOST_COPIES, LEAST_KINDS = 2, 64, 12
 _HINT = r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_-]{32}|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ"
 
 
@@ -58,7 +58,7 @@ def ownership(found: DataFrame) -> DataFrame:
     """Per hash of a candidate: in how many documents and of how many owners it stands, and whether that is an owner's own."""
     each = found.select("hash", "owner", "doc_id").distinct()
     owned = each.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
-    return owned.withColumn("own", F.col("n_owners") <= MOST_OWNERS)
+    return owned.withColumn("own", (F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repositories") <= MOST_COPIES * F.col("n_owners")))
 
 
 def clear_of_base(judged: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
 
     The base kinds are reported wherever they match. Other candidates, known token forms and long mixed runs, are
     reported as ``live`` where they touch no base span and their hash is owner-specific: of at most
-    MOST_OWNERS owners, in however many documents (each counts as a repository); widely copied examples are
+    MOST_OWNERS owners, and in at most MOST_COPIES documents (each counts as a repository) for each of them; widely copied examples are
     not. ``n_live`` and ``n_examples`` count the spans of all kinds that are owner-specific or copied. Places are code points, the end exclusive; a null or empty text has no
     span. A null owner is one owner. Rows without an id go; of rows that repeat an id the text that sorts last counts, with
     its owner. Other columns are ignored; an empty table gives an empty table.

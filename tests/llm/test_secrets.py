@@ -26,7 +26,7 @@ def brute(rows):
         found[i] = (base(t), more)
         for m in base(t) + more:
             where[m[3]].add((i, s or ""))
-    own = {v: len({s for _, s in w}) <= 2 for v, w in where.items()}
+    own = {v: len({s for _, s in w}) <= 2 and len({i for i, _ in w}) <= 64 * len({s for _, s in w}) for v, w in where.items()}
     out = {}
     for i, (b, more) in found.items():
         free = [m for m in more if own[m[3]] and not any(x[0] < m[2] and m[0] < x[2] for x in b)]
