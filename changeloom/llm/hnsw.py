@@ -227,11 +227,14 @@ def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
 
 def clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vector`` of the rows that take part."""
+    """``id, vector`` of the rows that take part; of those that repeat an id the vector that sorts last."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(v, lambda c: c != 0)
     zero = F.transform(v, lambda c: F.when(c == 0, 0.0).otherwise(c))
-    return df.select(F.col(id_col).cast("long").alias("id"), zero.alias("vector")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    good = df.select(F.col(id_col).cast("long").alias("id"), zero.alias("vector")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    if good.groupBy("id").count().where("count > 1").isEmpty():
+        return good
+    return good.groupBy("id").agg(F.max("vector").alias("vector"))
 
 
 def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,15 +275,15 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec
     """The ``top`` vectors of largest inner product found for each query: ``query_id, rank, vec_id, score``; a query's own id is left out.
 
     Ranks start at 1; equal scores go to the smaller id; the score is in double precision on the vectors as given. Rows with a null id, and vectors that
-    are null, zero, empty, or hold null or non-finite components, take no part on either side. Repeated
-    rows count once. A query is compared with the vectors of its own length only. Fewer candidates than ``top`` give fewer rows; empty tables
+    are null, zero, empty, or hold null or non-finite components, take no part on either side. Of rows that repeat
+    an id the vector that sorts last counts, as candidate and as query. A query is compared with the vectors of its own length only. Fewer candidates than ``top`` give fewer rows; empty tables
     give an empty table. Other columns are ignored.
 
     Queries go to every shard in groups of about GROUP; a task has one shard's index, once, and one group. Each answers from the graph
     with a beam of ``width``, and the answers are merged by query.
     """
     shards = index(df, id_col, vector_col, top + 1)
-    asked = clean(queries, id_col, vector_col).dropDuplicates(["id"])
+    asked = clean(queries, id_col, vector_col)
     blocks = materialize(asked.mapInArrow(_blocks, "length int, query_ids binary, queries binary"))
     groups = max(1, math.ceil((blocks.agg(F.sum(F.octet_length("query_ids"))).first()[0] or 0) / 8 / GROUP))
     which = shards.select("length", "shard").collect()

@@ -72,3 +72,10 @@ def test_edges(spark):
     got = result(nearest(df, df.where("vec_id % 20 = 0")))
     assert got == brute(rows, [0, 20, 140])
     assert result(nearest(df.limit(0), df.limit(0))) == {} == result(nearest(df.limit(1), df.limit(1)))
+
+
+def test_repeated_ids_have_one_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (5, [1.0, 1.0]), (5, [3.0, 0.0]), (5, None), (6, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for some in (df, df.repartition(3)):
+        assert result(nearest(some, some.where("vec_id % 20 = 0"))) == brute([(0, [1.0, 0.0]), (5, [3.0, 0.0]), (6, [0.0, 2.0])], [0])
