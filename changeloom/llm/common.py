@@ -64,15 +64,15 @@ def one_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def row_keys(df: DataFrame, id_col: str, key: str) -> DataFrame:
     """The rows with one more column, a long that no two rows share and that rises with the id; rows without an id come last.
 
-    It is the id itself where ids are whole numbers, unique and not null; else rows are sorted by id over partitions, numbered, and written, as numbers
-    must not change when a task runs again.
+    It is the id itself where ids are whole numbers, unique and not null; else rows are sorted by id and, where ids repeat, by a hash of all columns over partitions, numbered, and written, as numbers
+    must not change when a task runs again. Only equal rows can change places.
     """
     df = df.select(*[c for c in df.columns if c != key])
     ids = df.select(F.col(id_col).cast("long").alias("id"))
     if ids.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         return df.withColumn(key, F.col(id_col).cast("long"))
-    order = F.col(id_col).cast("long").asc_nulls_last()
-    return materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn(key, F.monotonically_increasing_id()))
+    order = [F.col(id_col).cast("long").asc_nulls_last(), F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])]
+    return materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()))
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -53,13 +53,16 @@ _FOUND = re.compile(
     r"|(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]{0,2}\d{2,4}){2,4}(?!\w))"
 )
-_FULL = re.compile(rf"(?<!\w)({_WORD}+) ({_WORD}+(?:-{_WORD}+)?)(?!\w)")
-_PAIR = re.compile(rf"(?<!\w)(?={_WORD})[^a-zа-я\W\d_]{_WORD}+ [^a-zа-я\W\d_]{_WORD}+")
+#: What may stand between a given name and a surname, besides initials, and stays.
+_PARTICLES = "(?:al|bin|da|de|del|della|den|der|di|dos|du|el|ibn|la|le|ten|ter|van|von)"
+_SURNAME = rf"{_WORD}+(?:['’-]{_WORD}+)*"
+_FULL = re.compile(rf"(?<!\w)({_WORD}+(?:-{_WORD}+)?) ((?:{_WORD}\. ){{0,3}}(?:{_PARTICLES} ){{0,3}})({_SURNAME})(?!\w)")
+_PAIR = re.compile(rf"(?<!\w)(?={_WORD})[^a-zа-я\W\d_](?:{_WORD}|-)+ (?:(?:{_WORD}\. )*(?:{_PARTICLES} )*)[^a-zа-я\W\d_](?:{_WORD}|['’])+")
 _HINT = re.compile(r"[0-9@]")
 _HEX = re.compile(r"[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]")
 _IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![\w:])")
 #: Titles before a name that no list has.
-_TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Г-н|Г-жа)\.? ({_WORD}+) ({_WORD}+(?:-{_WORD}+)?)(?!\w)")
+_TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Г-н|Г-жа)\.? ({_WORD}+) (?:(?:{_WORD}\. ){{0,3}}(?:{_PARTICLES} ){{0,3}})({_SURNAME})(?!\w)")
 _TITLE = re.compile(r"(?:M[rsi]|Dr|Prof|Г-)")
 #: Scripts without capitals: given names that stand as words, and family and given name in one.
 _CASELESS = [s for s in SCRIPTS if s in ("hebrew", "arabic", "devanagari")]
@@ -124,11 +127,16 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if _PAIR.search(text):
         at = 0
         while m := _FULL.search(text, at):
-            at = m.start(2)
-            first, last = canonical("given", m[1]), canonical("surname", m[2])
-            if first in _LIST and m[1].isupper() == m[2].isupper() and m[2][0].isupper() and last not in _LIST and script_of(m[1]) == script_of(m[2]):
-                out += [(m.start(1), m.end(1), "given"), (m.start(2), m.end(2), "surname")]
-                surnames.add(m[2])
+            at = m.start(3) if not m[2] else m.start(2)
+            parts = m[1].split("-")
+            listed = [canonical("given", p) in _LIST for p in parts]
+            if listed[0] and m[1].isupper() == m[3].isupper() and m[3][0].isupper() and canonical("surname", m[3]) not in _LIST and script_of(m[1]) == script_of(m[3]):
+                begin = m.start(1)
+                for part, known in zip(parts, listed, strict=True):
+                    out.append((begin, begin + len(part), "given" if known else "name"))
+                    begin += len(part) + 1
+                out.append((m.start(3), m.end(3), "surname"))
+                surnames.add(m[3])
         if _TITLE.search(text):
             for m in _TITLED.finditer(text):
                 if m[1][0].isupper() and m[2][0].isupper() and canonical("given", m[1]) not in _LIST and script_of(m[1]) == script_of(m[2]):
@@ -183,7 +191,9 @@ class Surrogates:
         return "".join(out)
 
     def of(self, kind: str, value: str, attempt: int = 0) -> str:
-        """The canonical surrogate of a canonical value."""
+        """The canonical surrogate of a canonical value; attempt -1 is a token that no form is too small for."""
+        if attempt < 0:
+            return f"{kind}-{hmac.digest(self.key, f'{kind}|{value}'.encode(), 'sha256').hex()[:32]}"
         stream = self._stream(kind, value, attempt)
         if kind == "email":
             local, _, domain = value.partition("@")
@@ -202,7 +212,8 @@ class Surrogates:
         if kind == "given":
             return self.order[value]
         if kind == "ipv6":
-            return "".join("0123456789abcdef"[next(stream) % 16] if c != ":" else c for c in value)
+            groups = [len(g) and max(len(g), min(4, len(g) + attempt // 2)) for g in value.split(":")]  # longer ones where short ones are used up
+            return ":".join("123456789abcdef"[next(stream) % 15] + "".join("0123456789abcdef"[next(stream) % 16] for _ in range(n - 1)) if n else "" for n in groups)
         if kind in ("name", "surname"):
             ending = next((e for e in ENDINGS if value.endswith(e) and len(value) > len(e) + 1), "")
             hard, soft = SYLLABLES[script_of(value)]
@@ -216,6 +227,8 @@ class Surrogates:
 
     def written(self, kind: str, raw: str, new: str) -> str:
         """A canonical surrogate in the format of a mention."""
+        if new.startswith(f"{kind}-"):
+            return new
         if kind in ("given", "name", "surname"):
             return new.upper() if raw.isupper() and len(raw) > 1 else new
         if kind in ("ip", "ipv6"):
@@ -267,12 +280,12 @@ def _replaced(parts: Iterator[pa.RecordBatch], key: bytes, at: int, names: list[
         yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(spans, pa.string())], names=names)
 
 
-def collisions(mentions: DataFrame, key: bytes, most: int = 60) -> DataFrame:
+def collisions(mentions: DataFrame, key: bytes, most: int = 40) -> DataFrame:
     """Other surrogates, ``kind, value, surrogate``, for values whose first one another value has too, or that is itself a value of the corpus.
 
     Of values that share a surrogate the smallest keeps it. The others try again, with an attempt number in the
-    keyed hash, until all differ; each round handles what collided in the round before. Mailboxes and surnames grow with the attempts, so
-    short ones never run out.
+    keyed hash, until all differ; each round handles what collided in the round before. Mailboxes, surnames and groups of IPv6 addresses grow with the attempts, so
+    short ones never run out. Of other forms, a value that has found none after ``most`` attempts, where nearly all that there are stand in the corpus, becomes a token of kind and hash.
     """
     values = materialize(mentions.select("kind", "value", "surrogate").distinct().where("kind <> 'given'"))
     real = values.select("kind", F.col("value").alias("surrogate"))
@@ -296,7 +309,8 @@ def collisions(mentions: DataFrame, key: bytes, most: int = 60) -> DataFrame:
         done = materialize(good if done is None else done.unionByName(good))
         todo = still
     if not todo.isEmpty():
-        raise ValueError(f"after {most} attempts some values still share a surrogate")
+        last = todo.withColumn("attempt", F.lit(-1)).mapInArrow(partial(_again, key=key), "kind string, value string, attempt int, surrogate string").select("kind", "value", "surrogate")
+        done = last if done is None else done.unionByName(last)
     return done if done is not None else values.limit(0)
 
 

@@ -31,6 +31,24 @@ def test_more_names_and_addresses():
     assert a.isupper() and a.title() == b and re.fullmatch("[0-9A-F]{4}:[0-9A-F]{3}::[0-9A-F]:[0-9A-F]", c) and "MARY" not in a
 
 
+def test_initials_particles_and_joined_names():
+    assert kinds("met John A. Smith, Maria de la Cruz and Patrick O'Brien") == [("John", "given"), ("Smith", "surname"), ("Maria", "given"), ("Cruz", "surname"), ("Patrick", "given"), ("O'Brien", "surname")]
+    assert kinds("John-Paul Jones and Anna-Lotte Berg-Holm") == [("John", "given"), ("Paul", "given"), ("Jones", "surname"), ("Anna", "given"), ("Lotte", "name"), ("Berg-Holm", "surname")]
+    assert kinds("Dr. Tuva K. van Dijk") == [("Tuva", "name"), ("Dijk", "surname")]
+    assert kinds("The A. Smith of van Dijk, Anna de facto") == []
+
+
+def test_a_form_that_is_full(spark):
+    """More addresses of a short form than have a partner of that form, and all of a form that cannot grow: each gets a surrogate of its own, and the job ends."""
+    rows = [(k, f"{k // 225 + 1:x}:{k // 15 % 15 + 1:x}::{k % 15 + 1:x}") for k in range(2200)]
+    rows = [(k, t) for k, t in rows if any(c.isdigit() for c in t)]
+    got = replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
+    after = {r.doc_id: r.text for r in got}
+    assert all(r.n_entities == 1 for r in got) and len(set(after.values())) == len(rows) > 1500 and not set(after.values()) & {t for _, t in rows}
+    make = Surrogates(b"k")
+    assert len({make.of("ssn", str(k), -1) for k in range(1000)}) == 1000 and make.written("ssn", "123-45-6789", make.of("ssn", "123456789", -1)) == make.of("ssn", "123456789", -1)
+
+
 def test_scripts():
     assert kinds("Ελένη Παπαδοπούλου; Παπαδοπούλου") == [("Ελένη", "given"), ("Παπαδοπούλου", "surname"), ("Παπαδοπούλου", "surname")]
     assert kinds("قال محمد ومحمود") == [("محمد", "given")] and kinds("שלום דוד") == [("דוד", "given")] and kinds("प्रिया और राहुल") == [("प्रिया", "given"), ("राहुल", "given")]
