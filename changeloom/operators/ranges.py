@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -37,13 +38,43 @@ def overlapping(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
     return both.where(F.col("__bin") == first).drop("__bin")
 
 
+_INNER = "change_id long, file_path string, line_number int, name string, qualified_name string, kind string, start_line int, end_line int"
+
+
+def _sweep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows arrive file by file in the order of lines, ranges before lines; only the ranges that may still hold a line are held, on a heap with the smallest first."""
+    names = [c.split()[0] for c in _INNER.split(", ")]
+    file, opened = None, []
+    for part in parts:
+        found = []
+        for change, path, line, asked, seq, end, name, qualified, kind in part.itertuples(index=False, name=None):
+            if (change, path) != file:
+                file, opened = (change, path), []
+            if not asked:
+                heapq.heappush(opened, (end - line, seq, line, end, name, qualified, kind))
+                continue
+            while opened and opened[0][3] < line:
+                heapq.heappop(opened)
+            if opened:
+                _, _, start, end, name, qualified, kind = opened[0]
+                found.append((change, path, line, name, qualified, kind, start, end))
+            else:
+                found.append((change, path, line, None, None, None, None, None))
+        yield pd.DataFrame(found, columns=names).astype({"start_line": "Int32", "end_line": "Int32"})
+
+
 def innermost(points: DataFrame, definitions: DataFrame, line: str = "line_number", prefix: str = "in_") -> DataFrame:
-    """Distinct lines ``change_id, file_path, line`` with the smallest definition that holds each, the first of equals; null if none."""
-    some = points.select(*FILE, line).distinct()
-    named = definitions.select(*FILE, "def_seq", *_DEF)
-    size = F.struct(F.col("end_line") - F.col("start_line"), F.col("def_seq"))
-    best = lines_in_ranges(some, named, line).groupBy(*FILE, line).agg(F.min_by(F.struct(*_DEF), size).alias("d"))
-    return some.join(best, [*FILE, line], "left").select(*FILE, line, *[F.col(f"d.{c}").alias(f"{prefix}{c}") for c in _DEF])
+    """Distinct lines ``change_id, file_path, line`` with the smallest definition that holds each, the first of equals; null if none.
+
+    Lines and ranges meet in one shuffle by file and one sweep over their sorted union: a range is one row, however long it is.
+    """
+    whole = lambda c, name: F.col(c).cast("int").alias(name)
+    file = [F.col("change_id").cast("long").alias("change_id"), F.col("file_path").alias("file_path")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("name", "qualified_name", "kind")]
+    some = points.select(*FILE, line).distinct().select(*file, whole(line, "at"), F.lit(1).alias("asked"), F.lit(0).alias("def_seq"), F.lit(0).alias("end"), *none)
+    named = definitions.select(*file, whole("start_line", "at"), F.lit(0).alias("asked"), whole("def_seq", "def_seq"), whole("end_line", "end"), "name", "qualified_name", "kind")
+    found = named.unionByName(some).repartition(*FILE).sortWithinPartitions(*FILE, "at", "asked").mapInPandas(_sweep, _INNER)
+    return found.select(*FILE, F.col("line_number").alias(line), *[F.col(c).alias(f"{prefix}{c}") for c in _DEF])
 
 
 _HEADERS = "change_id long, file_path string, start_line int, name string, kind string, end_line int"

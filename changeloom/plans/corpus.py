@@ -101,8 +101,25 @@ fx_head_rows as (
 fx_head_definitions as (select change_id, file_path, row_number() over (partition by change_id, file_path order by b, part) as def_seq, name, qualified_name, kind, start_line, end_line from fx_head_rows)"""
 
 
-#: Tables of the corpus that were written, by application, data folder and name.
-_written: dict[tuple[str, str, str], DataFrame] = {}
+#: Scripts of shapes that the blocks above lack: an order is a block of four lines in the script of its customer.
+_SHAPES = {
+    0: ("concat('exports.f', n, ' = function (x) {')", "concat('  return a', m, '.b().c(x);')", "'};'", "''"),
+    1: ("concat('const o', n, ' = {')", "concat('  m', m, '(x) { return `v ${g', n, '(x)}`; },')", "'};'", "''"),
+    2: ("concat('const z', n, ' = (a = f', m, '()) => {')", "concat('  function inner', m, '() { h', n, '(1); }')", "'};'", "''"),
+    3: ("concat('function* gen', n, '() {')", "concat('  yield new K', m, '(p', n, '()).q();')", "'}'", "''"),
+    4: ("concat('class C', n, ' extends mix', m, '(B) {')", "concat('  static async run', m, '() { await this.t.u', n, '(); }')", "'}'", "''"),
+    5: ("concat('s', n, ' = \"', repeat('ab', 3000), '\\\\\"', repeat('cd(', 2000), '\"; w', m, '(/re(g/);')", "''", "concat('if (x', n, ') /[/]/.test(v', m, ');')", "''"),
+}
+
+
+def with_scripts(orders: str = "orders") -> str:
+    """``fx_scripts``: change set, file, block, first line and numbers of each block, to put after WITH."""
+    return f"""fx_scripts as (select o_custkey as change_id, concat('web/s', o_custkey, '.js') as file_path, o_orderkey % 6 as k, o_orderkey % 7 as n, o_custkey % 5 as m,
+    row_number() over (partition by o_custkey order by o_orderkey) as b, 4 * row_number() over (partition by o_custkey order by o_orderkey) - 3 as s from {orders})"""
+
+
+#: Tables of the corpus that were written, by application, data folder, name, and the times of the folder's files.
+_written: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
 class Corpus:
@@ -111,6 +128,7 @@ class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._seen: str | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -120,8 +138,15 @@ class Corpus:
         text = f"with {with_truth('orders_', 'lineitem_')} {select}".replace("{", "{{").replace("}", "}}")
         return self.spark.sql(text.replace("orders_", "{orders}").replace("lineitem_", "{lineitem}"), orders=self.table("orders"), lineitem=self.table("lineitem"))
 
+    def _version(self) -> str:
+        """Files of the folder's tables with their times: what was written from others is written anew."""
+        files = self.table("orders").select("_metadata.file_path", "_metadata.file_modification_time").union(self.table("lineitem").select("_metadata.file_path", "_metadata.file_modification_time")) if self._seen is None else None
+        if files is not None:
+            self._seen = str(sorted(map(str, files.distinct().collect())))
+        return self._seen
+
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self._version())
         if key not in _written:
             _written[key] = settle(make().repartition(max(8, self.spark.sparkContext.defaultParallelism)))  # small tables would be one file, and what reads them one task
         return _written[key]
@@ -142,6 +167,17 @@ class Corpus:
 
         return self._once("diffs", make)
 
+    def scripts(self) -> DataFrame:
+        """``change_id, file_path, text``: a script per customer."""
+
+        def make() -> DataFrame:
+            line = lambda i: F.expr("case k " + " ".join(f"when {k} then {lines[i]}" for k, lines in _SHAPES.items()) + " end")
+            blocks = self.spark.sql(f"with {with_scripts('{orders}')} select * from fx_scripts", orders=self.table("orders")).withColumn("x", F.concat_ws("\n", *[line(i) for i in range(4)]))
+            text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "x"))), lambda x: x["x"]), "\n")
+            return blocks.groupBy("change_id", "file_path").agg(text.alias("text"))
+
+        return self._once("scripts", make)
+
     def definitions(self, side: str = "revised") -> DataFrame:
         return self.fx("fx_definitions" if side == "revised" else "fx_head_definitions")
 

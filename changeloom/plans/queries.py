@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from changeloom.functions import text as T
 from changeloom.operators import background, graph, overall, ranges, source, steps
 from changeloom.operators.hunks import added_lines, filter_hunks, line_runs, parse_hunks
+from changeloom.operators.ranks import numbered
 from changeloom.operators.units import definition_hits, split_units
 from changeloom.plans import jobs
-from changeloom.plans.corpus import Corpus, with_truth
+from changeloom.plans.corpus import Corpus, with_scripts, with_truth
 from changeloom.sources import store
+from changeloom.sources.tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,16 +158,16 @@ def innermost_definitions(c: Corpus) -> DataFrame:
     return ranges.innermost(added_lines(_hunks(c)), c.definitions()).select("change_id", "file_path", "line_number", F.col("in_qualified_name").alias("qualified_name"))
 
 
-_HEADERS = ", headers as (select change_id, file_path, s as line, case k when 0 then concat('f', n) when 1 then concat('C', n) else concat('h', n) end as name from fx_code where lg = 'py' and k in (0, 1, 4) union all select change_id, file_path, s + 1, concat('m', m) from fx_code where lg = 'py' and k = 1)"
+_HEADERS = ", headers as (select change_id, file_path, s as line, s + 2 as last, case k when 0 then concat('f', n) when 1 then concat('C', n) else concat('h', n) end as name from fx_code where lg = 'py' and k in (0, 1, 4) union all select change_id, file_path, s + 1, s + 2, concat('m', m) from fx_code where lg = 'py' and k = 1)"
 
 
-@query(_ADDED + _HEADERS + """ select a.change_id, a.file_path, a.line_number, max_by(h.name, h.line) as name, max(h.line) as start_line
+@query(_ADDED + _HEADERS + """ select a.change_id, a.file_path, a.line_number, max_by(h.name, h.line) as name, max(h.line) as start_line, max_by(h.last, h.line) as end_line
   from (select distinct change_id, file_path, line_number from added where lg = 'py') a join headers h on a.change_id = h.change_id and a.file_path = h.file_path and h.line <= a.line_number group by 1, 2, 3""")
 def nearest_headers(c: Corpus) -> DataFrame:
     """The last Python header line at or before each added line."""
     points = added_lines(_hunks(c)).where(T.language(F.col("file_path")) == "python")
     lines = source.source_lines(c.snapshots().where(F.col("file_path").endswith(".py")))
-    return ranges.enclosing_header(points, lines).select("change_id", "file_path", "line_number", F.col("in_name").alias("name"), F.col("in_start_line").alias("start_line"))
+    return ranges.enclosing_header(points, lines).select("change_id", "file_path", "line_number", F.col("in_name").alias("name"), F.col("in_start_line").alias("start_line"), F.col("in_end_line").alias("end_line"))
 
 
 _UNITS = ", unit as (select change_id, file_path, def_seq as unit_seq, name, qualified_name, kind, start_line, end_line from fx_definitions)"
@@ -225,11 +228,8 @@ def background_order(c: Corpus) -> DataFrame:
 
 def _numbered(c: Corpus) -> DataFrame:
     """Units numbered over their change set, as main steps; ``in_file`` is the number in the file."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("change_id").orderBy("file_path", "unit_seq")
-    whole = _units(c).withColumn("in_file", F.col("unit_seq")).withColumn("unit_seq", F.row_number().over(order))
-    return steps.main_steps(whole)
+    whole = _units(c).withColumn("in_file", F.col("unit_seq"))
+    return steps.main_steps(numbered(whole, ["change_id"], [F.col("file_path")], ["in_file"], "unit_seq"))
 
 
 @query(_UNITS + _STEPS + " select change_id, file_path, unit_seq as in_file, step_no, concat('main-', step_no) as step_id from steps")
@@ -263,14 +263,16 @@ def identifiers(c: Corpus) -> DataFrame:
 
 _NAMED = _ADDED + r""", called as (select change_id, file_path, hunk_seq as unit_seq, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1)) as name from added),
   own as (select change_id, file_path, hunk_seq as unit_seq, unnest(regexp_extract_all(text, '(?:self|this)\.([A-Za-z_][A-Za-z0-9_]*)', 1)) as name from added),
-  names as (select * from called where name not in ('if', 'for', 'while') union select * from own)"""
+  attached as (select k.change_id, k.file_path, k.hunk_seq as unit_seq, unnest(case when c.qualified_name <> c.name then list_append(string_split(c.qualified_name, '.'), c.name) else [c.name] end) as name
+    from kept k join fx_calls c on k.change_id = c.change_id and k.file_path = c.file_path and k.start_line <= c.end_line and c.start_line <= k.end_line),
+  names as (select * from called where name not in ('if', 'for', 'while') union select * from own union select * from attached)"""
 
 
 @query(_NAMED + " select * from names")
 def call_names(c: Corpus) -> DataFrame:
-    """Called names and own attributes on added lines."""
-    none = c.calls().limit(0).withColumn("unit_seq", F.lit(0))
-    return graph.call_names(_hunk_units(c), none)
+    """Names of attached calls, and called names and own attributes on added lines."""
+    units = _hunk_units(c)
+    return graph.call_names(units, background.unit_calls(units, c.calls()))
 
 
 _EDGES = _CALLED + """, edges as (select distinct c.change_id, c.file_path, d.def_seq as from_seq, c.unit_seq as to_seq from unit_calls c join fx_definitions d on c.change_id = d.change_id and c.file_path = d.file_path and (d.name = c.name or (c.qualified_name <> c.name and d.name in (split_part(c.qualified_name, '.', 1), split_part(c.qualified_name, '.', 2)))) where d.def_seq <> c.unit_seq)"""
@@ -323,14 +325,15 @@ _RESOLVED = _CALLED + """, refs as (select change_id, file_path, unit_seq, name,
   t2 as (select r.ref, r.change_id, concat(r.file_path, '#', r.unit_seq) as to_id, n.node_id from refs r join node n on r.change_id = n.change_id and r.file_path = n.file_path and r.name = n.name where r.ref not in (select ref from t1)),
   alone as (select change_id, name, min(node_id) as node_id from node group by 1, 2 having count(*) = 1),
   t3 as (select r.ref, r.change_id, concat(r.file_path, '#', r.unit_seq) as to_id, n.node_id from refs r join alone n on r.change_id = n.change_id and r.name = n.name where r.ref not in (select ref from t1) and r.ref not in (select ref from t2)),
-  tour as (select change_id, node_id as from_id, to_id, count(*) as weight from (select * from t1 union all select * from t2 union all select * from t3) where node_id <> to_id group by 1, 2, 3)"""
+  tour as (select change_id, from_id, to_id, count(*) as weight from (select change_id, node_id as from_id, to_id from (select * from t1 union all select * from t2 union all select * from t3) where node_id <> to_id
+    union all select m.change_id, concat(m.file_path, '#', m.unit_seq), concat(k.file_path, '#', k.unit_seq) from unit m join unit k on m.change_id = k.change_id and m.file_path = k.file_path and m.kind = 'method' and k.kind = 'class' and k.name = split_part(m.qualified_name, '.', 1)) group by 1, 2, 3)"""
 
 
 def _tour_edges(c: Corpus) -> DataFrame:
     node = F.concat(F.col("file_path"), F.lit("#"), F.col("unit_seq").cast("string"))
     units = _units(c).withColumn("node_id", node)
     refs = background.unit_calls(units, c.calls()).select("change_id", "file_path", node.alias("user"), F.lit("definition").alias("kind"), "name", F.when(F.col("qualified_name") != F.col("name"), F.col("qualified_name")).alias("qualified_name"))
-    return graph.tour_edges(graph.resolve_references(refs, units), graph.method_classes(units).limit(0))
+    return graph.tour_edges(graph.resolve_references(refs, units), graph.method_classes(units))
 
 
 @query(_RESOLVED + " select * from tour")
@@ -397,12 +400,15 @@ def missing_explanations(c: Corpus) -> DataFrame:
     case when k = 2 then concat('Label: G', n) else concat_ws(chr(10), 'ChangeKind: operation', 'DefinitionName: n/a', 'DefinitionType: n/a', 'DiffText:', concat(hunk_text, case when from_last = 1 then chr(10) else '' end)) end, 'Explanation:', case when k = 3 then '(empty)' else concat('text ', hunk_seq) end, '---'), chr(10) order by hunk_seq)) as report from kept group by 1""")
 def tour_report(c: Corpus) -> DataFrame:
     """The text report of each change set."""
+    return store.report(_report_steps(c))
+
+
+def _report_steps(c: Corpus) -> DataFrame:
     known = c.fx("fx_hunks").select("change_id", "hunk_seq", "k", "n")
-    s = _hunks(c).join(known, ["change_id", "hunk_seq"]).withColumns({
+    return _hunks(c).join(known, ["change_id", "hunk_seq"]).withColumns({
         "step_id": F.concat(F.lit("main-"), F.col("hunk_seq").cast("string")), "step_type": F.when(F.col("k") == 2, "background").otherwise("main"), "change_kind": F.lit("operation"), "definition_name": F.lit(None).cast("string"),
         "definition_type": F.lit(None).cast("string"), "label": F.concat(F.lit("G"), "n"), "position": F.col("hunk_seq"), "explanation": F.when(F.col("k") != 3, F.concat(F.lit("text "), "hunk_seq")),
     })
-    return store.report(s)
 
 
 _SPLIT = _KEPT + """, split as (
@@ -599,3 +605,96 @@ def debug_reports(c: Corpus) -> DataFrame:
     """A report per unit: what it is, its calls and the helpers that they resolve to."""
     units = _units(c).withColumns({"step_id": F.concat(F.lit("main-"), "unit_seq"), "definition_type": F.col("element_kind"), "segment_id": F.lit(None).cast("string")})
     return background.debug_report(units, background.unit_calls(units, c.calls()), background.background_regions(units, c.calls(), c.definitions("head"), c.snapshots("head")))
+
+
+_CLONED = _APPLIED.replace("join overall o on u.change_id = o.change_id", "join few o on u.change_id = o.change_id").replace(", fits as", ", few as (select * from overall where name not in ('f0', 'f1', 'G0')), fits as", 1) + f""", lost as (select u.*, {_DIFF} as diff, row_number() over (partition by u.change_id, u.file_path order by u.unit_seq) as r from unit u left join target t on u.change_id = t.change_id and u.unit_seq = t.unit_seq where t.n is null and u.change_kind <> 'operation'),
+  tops as (select change_id, file_path, max(n) as top from few group by 1, 2)"""
+
+
+@query(_CLONED + """ select o.change_id, o.file_path, o.n as unit_seq, false as is_clone, o.name, o.start_line, o.end_line, case when m.became_global then 'global' else o.element_kind end as element_kind, coalesce(m.change_kind, '') as change_kind, coalesce(m.diff_text, '') as diff_text
+  from few o left join merged m on o.change_id = m.change_id and o.n = m.n where exists (select 1 from few)
+  union all select l.change_id, l.file_path, top + r, true, l.name, l.start_line, l.end_line, case l.change_kind when 'global' then 'global' else 'function' end, l.change_kind, l.diff from lost l join tops t on l.change_id = t.change_id and l.file_path = t.file_path""")
+def changes_cloned(c: Corpus) -> DataFrame:
+    """Change units applied to an index that lacks some of their definitions, which are appended."""
+    index, _ = jobs.repository_index(c.snapshots())
+    out = overall.apply_changes(index.where("name not in ('f0', 'f1', 'G0')"), jobs.change_units(c.diffs(), c.snapshots()))
+    return out.withColumns({x: F.coalesce(x, F.lit("")) for x in ("change_kind", "diff_text")})
+
+
+@query(_LINKS + """, shown as (select * from node where element_kind <> 'global')
+  select l.change_id, from_id, to_id, edge_type, count(*) as weight from link l join shown a on l.change_id = a.change_id and l.from_id = a.node_id join shown b on l.change_id = b.change_id and l.to_id = b.node_id group by 1, 2, 3, 4""")
+def edges_without_globals(c: Corpus) -> DataFrame:
+    """Edges of the graph that are left when variables are hidden."""
+    s = _steps(c)
+    calls = background.unit_calls(s.where("element_kind is null or element_kind <> 'global'").withColumn("unit_seq", F.col("position")), c.calls())
+    attached = calls.join(s.select("change_id", F.col("position").alias("unit_seq"), "step_id"), ["change_id", "unit_seq"]).select(*graph.STEP, "name", F.when(F.col("qualified_name") != F.col("name"), F.col("qualified_name")).alias("qualified_name"))
+    found, edges = graph.tour_graph(s, attached)
+    return graph.global_visibility(found, edges, False)[1]
+
+
+@query(_STORED + " select k.change_id, k.hunk_seq from kept k where k.change_id % 3 = 0 or not exists (select 1 from stored s where s.change_id = k.change_id)")
+def gated_explanations(c: Corpus) -> DataFrame:
+    """Steps to explain where any stored record holds a whole change set back; a third of the change sets were cleared."""
+    main = _hunks(c).withColumn("step_type", F.lit("main"))
+    stored = store.explanations(_stores(c), "focus").where("change_id % 3 <> 0")
+    return store.missing(main, stored, whole_gate=True).select("change_id", "hunk_seq")
+
+
+@query(_REGIONS + _TEXTS + f""" select change_id, file_path, start_line, end_line, label, concat('told ', length(request)) as explanation from (select distinct r.change_id, r.file_path, r.start_line, r.end_line, r.label, concat_ws(chr(10), '{T.BACKGROUND_GUIDANCE}', 'Intent: review', concat('Place: ', r.file_path, ':', r.start_line, '-', r.end_line), concat('Symbol: ', r.label), 'Before:', h.text) as request
+  from region r join head h on r.change_id = h.change_id and r.file_path = h.file_path)""")
+def explained_regions(c: Corpus) -> DataFrame:
+    """Requests answered by a function over batches of texts."""
+    asked = region_requests(c.spark, c.sf_dir)
+    return store.explain(asked, lambda s: "told " + s.str.len().astype(str)).drop("request")
+
+
+@query(_KEPT + " select change_id, hunk_seq, file_path, start_line, end_line, hunk_text || case when from_last = 1 then chr(10) else '' end as diff_text from kept")
+def hunks_of_files(c: Corpus) -> DataFrame:
+    """Hunks of diffs that are written as files and read section by section."""
+    path = f"{shared_folder(c.spark)}/diffs/{uuid.uuid4().hex}"
+    body = F.regexp_replace("diff_text", r"\n$", "")  # the writer ends a row with a line feed
+    c.diffs().select("change_id", body.alias("value")).repartition("change_id").write.partitionBy("change_id").text(path)
+    return parse_hunks(store.read_diffs(c.spark, path))
+
+
+@query(_KEPT + """ select change_id, 0 as position, concat('Steps: ', count(*), chr(10)) as text from kept group by 1
+  union all select change_id, hunk_seq, concat_ws(chr(10), concat('STEP main-', hunk_seq), case when k = 2 then 'Type: background' else 'Type: main' end, concat('File: ', file_path), concat('Range: ', start_line, '-', end_line),
+    case when k = 2 then concat('Label: G', n) else concat_ws(chr(10), 'ChangeKind: operation', 'DefinitionName: n/a', 'DefinitionType: n/a', 'DiffText:', concat(hunk_text, case when from_last = 1 then chr(10) else '' end)) end, 'Explanation:', case when k = 3 then '(empty)' else concat('text ', hunk_seq) end, '---') from kept""")
+def tour_report_blocks(c: Corpus) -> DataFrame:
+    """The blocks of each change set's report, a row each."""
+    return store.report_blocks(_report_steps(c))
+
+
+_SCRIPT_DEFINITIONS = f"""with {with_scripts()}, d as (
+  select change_id, file_path, b, 0 as part, concat('f', n) as name, concat('f', n) as qualified_name, 'function' as kind, s as start_line, s + 2 as end_line from fx_scripts where k = 0
+  union all select change_id, file_path, b, 0, concat('m', m), concat('m', m), 'method', s + 1, s + 1 from fx_scripts where k = 1
+  union all select change_id, file_path, b, 0, concat('z', n), concat('z', n), 'function', s, s + 2 from fx_scripts where k = 2
+  union all select change_id, file_path, b, 1, concat('inner', m), concat('inner', m), 'function', s + 1, s + 1 from fx_scripts where k = 2
+  union all select change_id, file_path, b, 0, concat('C', n), concat('C', n), 'class', s, s + 2 from fx_scripts where k = 4
+  union all select change_id, file_path, b, 1, concat('run', m), concat('C', n, '.run', m), 'method', s + 1, s + 1 from fx_scripts where k = 4)
+  select change_id, file_path, row_number() over (partition by change_id order by b, part) as def_seq, name, qualified_name, kind, start_line, end_line from d"""
+_SCRIPT_CALLS = f"""with {with_scripts()}, c as (
+  select change_id, file_path, b, 0 as part, 'c' as name, concat('a', m, '.b.c') as qualified_name, s + 1 as line from fx_scripts where k = 0
+  union all select change_id, file_path, b, 1, 'b', concat('a', m, '.b'), s + 1 from fx_scripts where k = 0
+  union all select change_id, file_path, b, 0, concat('g', n), concat('g', n), s + 1 from fx_scripts where k = 1
+  union all select change_id, file_path, b, 0, concat('f', m), concat('f', m), s from fx_scripts where k = 2
+  union all select change_id, file_path, b, 1, concat('h', n), concat('h', n), s + 1 from fx_scripts where k = 2
+  union all select change_id, file_path, b, 0, 'q', 'q', s + 1 from fx_scripts where k = 3
+  union all select change_id, file_path, b, 1, concat('p', n), concat('p', n), s + 1 from fx_scripts where k = 3
+  union all select change_id, file_path, b, 0, concat('mix', m), concat('mix', m), s from fx_scripts where k = 4
+  union all select change_id, file_path, b, 1, concat('u', n), concat('t.u', n), s + 1 from fx_scripts where k = 4
+  union all select change_id, file_path, b, 0, concat('w', m), concat('w', m), s from fx_scripts where k = 5
+  union all select change_id, file_path, b, 1, 'test', 'test', s + 2 from fx_scripts where k = 5)
+  select change_id, file_path, row_number() over (partition by change_id order by b, part) as call_seq, name, qualified_name, line as start_line, line as end_line from c"""
+
+
+@query(_SCRIPT_DEFINITIONS, truth=False)
+def script_definitions(c: Corpus) -> DataFrame:
+    """Assigned functions, methods of objects, nested functions, generators and long lines."""
+    return source.definitions(source.analyze(c.scripts()))
+
+
+@query(_SCRIPT_CALLS, truth=False)
+def script_calls(c: Corpus) -> DataFrame:
+    """Chained calls, calls in template holes and beside regular expressions."""
+    return source.calls(source.analyze(c.scripts()))

@@ -25,7 +25,16 @@ def settle(df: DataFrame) -> DataFrame:
     """Write a table that several branches read and read it back: plans stay small, nothing is computed twice, and a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``settle`` wrote and that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def per_file(df: DataFrame, order: list[str], handle: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
