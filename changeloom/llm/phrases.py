@@ -19,7 +19,7 @@ LEAST, LONGEST, FIRST = 100, 5, 2000
 #: One of so many documents is in the sample.
 PART = 8
 #: Bytes of text that are counted together.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: Bits of a filter for each phrase, how many of them a phrase sets, and the largest filter as a power of two (32 MB).
 BITS, PROBES, LARGEST = 16, 4, 28
 _U = np.uint64
