@@ -140,9 +140,10 @@ class Corpus:
 
     def _version(self) -> str:
         """Files of the folder's tables with their times: what was written from others is written anew."""
-        files = self.table("orders").select("_metadata.file_path", "_metadata.file_modification_time").union(self.table("lineitem").select("_metadata.file_path", "_metadata.file_modification_time")) if self._seen is None else None
-        if files is not None:
-            self._seen = str(sorted(map(str, files.distinct().collect())))
+        if self._seen is None:
+            jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+            paths = [jvm.org.apache.hadoop.fs.Path(f) for t in ("orders", "lineitem") for f in self.table(t).inputFiles()]
+            self._seen = str([(p.toString(), p.getFileSystem(conf).getFileStatus(p).getModificationTime()) for p in paths])
         return self._seen
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:

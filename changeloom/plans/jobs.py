@@ -38,15 +38,19 @@ class Sources:
     lines: DataFrame
 
 
-def read_sources(snapshots: DataFrame) -> Sources:
-    rows = settle(source.analyze(snapshots))
-    variables = rows.where("what in ('variable', 'global')").select(*FILE, "name", "start_line", "end_line")
-    return Sources(source.definitions(rows), source.calls(rows), variables, source.script_globals(rows), settle(source.source_lines(snapshots)))
+def read_sources(**sides: DataFrame) -> dict[str, Sources]:
+    """What is read from the texts of each side; equal texts are parsed once. Lines are not written: those who need them read the few files that they are about."""
+    out = {}
+    for side, found in source.analyze_sides(**sides).items():
+        rows = settle(found)
+        variables = rows.where("what in ('variable', 'global')").select(*FILE, "name", "start_line", "end_line")
+        out[side] = Sources(source.definitions(rows), source.calls(rows), variables, source.script_globals(rows), source.source_lines(sides[side]))
+    return out
 
 
 def change_units(diffs: DataFrame, revised: DataFrame, root: str = "/work/repo") -> DataFrame:
     hunks = settle(parse_hunks(diffs, root))
-    s = read_sources(revised)
+    s = read_sources(revised=revised)["revised"]
     return split_units(hunks, s.definitions, s.variables, s.lines)
 
 
@@ -61,7 +65,8 @@ def order(units: DataFrame, calls: DataFrame) -> DataFrame:
 def diff_tour(diffs: DataFrame, head: DataFrame, revised: DataFrame, root: str = "/work/repo") -> Tour:
     """Units grouped, ordered so that what is needed comes first, with the existing code they need before them."""
     hunks = settle(parse_hunks(diffs, root))
-    new, old = read_sources(revised), read_sources(head)
+    read = read_sources(revised=revised, head=head)
+    new, old = read["revised"], read["head"]
     units = settle(steps.proximity_groups(split_units(hunks, new.definitions, new.variables, new.lines)))
     calls = settle(background.unit_calls(units, new.calls))
     regions = settle(background.background_regions(units, new.calls, old.definitions, file_contexts(head, revised).select(*FILE)))
@@ -87,7 +92,7 @@ def explanation_requests(tour: Tour, head: DataFrame, revised: DataFrame, stored
 
 def repository_index(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Index units and what they use, from all source texts."""
-    s = read_sources(snapshots)
+    s = read_sources(all=snapshots)["all"]
     found = source.python_globals(snapshots).unionByName(s.script_globals)
     index = settle(overall.index_units(s.definitions, found))
     return index, overall.index_calls(index, s.calls, s.lines)
