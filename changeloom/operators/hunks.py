@@ -9,7 +9,7 @@ from changeloom.functions import text as T
 
 
 #: A line end before a line that opens a hunk: any line with a hunk header but one that names a file.
-_OPENS = rf"\r?\n(?!\+\+\+ |diff --git )(?=[^\n]*?{T.HUNK})"
+_OPENS = rf"\r?\n(?!\+\+\+ |diff --git )(?=[^\n@]*+(?:(?!{T.HUNK})@[^\n@]*+)*+{T.HUNK})"
 _NAMES = r"(?:^|\n)\+\+\+ ([^\n]*)"
 
 
