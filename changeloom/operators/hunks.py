@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,25 +15,30 @@ _OPENS = rf"\r?\n(?!\+\+\+ |diff --git )(?=[^\n@]*+(?:(?!{T.HUNK})@[^\n@]*+)*+{T
 _NAMES = r"(?:^|\n)\+\+\+ ([^\n]*)"
 
 
-def _hunks_of(sections: Column) -> Column:
-    """The hunks of file sections as an array of ``path, header, diff_text``, by passes over the pieces of each.
+def _hunks_of(sections: Column, root: str) -> Column:
+    """The hunks of file sections as an array of ``file_path, diff_text``, by passes over the pieces of each.
 
     A section is cut before each line that opens a hunk. A piece says which file it names last, and a hunk's file is the last named in it or before.
-    What a step has found is an element of the next one's array, so that it is not found again for every piece.
+    What a step has found is an element of the next one's array, so that it is not found again for every piece. Most pieces name no file and have
+    plain line ends: they are a hunk's text as they stand, and only the others are taken apart.
     """
     none = F.array(F.lit(None).cast("string"))
     pieces = F.transform(sections, lambda s: F.split(F.concat(F.lit("\n"), s), _OPENS, -1))
 
+    def inside(path: Column) -> Column:
+        return T.relative_path(F.nullif(T.trim(path), F.lit("/dev/null")), root)
+
     def marked(some: Column) -> Column:
-        named = F.transform(some, lambda p, i: F.struct(i.alias("at"), F.element_at(F.concat(none, F.regexp_extract_all(p, F.lit(_NAMES), F.lit(1))), -1).alias("path")))
-        return F.struct(some.alias("pieces"), F.filter(named, lambda m: m["path"].isNotNull()).alias("marks"))
+        named = F.transform(some, lambda p, i: F.struct(i.alias("at"), F.when(p.contains("+++ "), F.element_at(F.concat(none, F.regexp_extract_all(p, F.lit(_NAMES), F.lit(1))), -1)).alias("path")))
+        return F.struct(some.alias("pieces"), F.transform(F.filter(named, lambda m: m["path"].isNotNull()), lambda m: F.struct(m["at"].alias("at"), inside(m["path"]).alias("path"))).alias("marks"))
 
     def told(piece: Column, at: Column, marks: Column) -> Column:
-        path = T.trim(F.element_at(F.concat(none, F.transform(F.filter(marks, lambda m: m["at"] <= at), lambda m: m["path"])), -1))
-        return F.struct(F.nullif(path, F.lit("/dev/null")).alias("path"), F.filter(T.lines(piece), lambda line: ~line.startswith("+++ ")).alias("lines"))
+        path = F.try_element_at(F.filter(marks, lambda m: m["at"] <= at), F.lit(-1))["path"]
+        whole = F.when(piece.contains("+++ ") | piece.contains("\r"), F.array_join(F.filter(T.lines(piece), lambda line: ~line.startswith("+++ ")), "\n")).otherwise(piece)
+        return F.struct(path.alias("file_path"), whole.alias("diff_text"))
 
     found = F.transform(F.transform(pieces, marked), lambda s: F.slice(F.transform(s["pieces"], lambda p, i: told(p, i, s["marks"])), F.lit(2), F.greatest(F.size(s["pieces"]) - 1, F.lit(0))))
-    return F.transform(F.flatten(found), lambda h: F.struct(h["path"].alias("path"), F.get(h["lines"], F.lit(0)).alias("header"), F.array_join(h["lines"], "\n").alias("diff_text")))
+    return F.flatten(found)
 
 
 def parse_hunks(diffs: DataFrame, root: str = "/work/repo") -> DataFrame:
@@ -44,17 +51,17 @@ def parse_hunks(diffs: DataFrame, root: str = "/work/repo") -> DataFrame:
     A change set may be in several rows with a ``part`` that orders them, as ``read_diffs`` gives it; then only the counts of hunks of its parts meet.
     """
     sections = F.split("diff_text", r"\r?\n(?=diff --git )", -1)
-    found = diffs.where(T.trim("diff_text") != "").withColumn("hunks", _hunks_of(sections))
+    found = diffs.where(T.trim("diff_text") != "").withColumn("hunks", _hunks_of(sections, root))
     if "part" in diffs.columns:
         before = Window.partitionBy("change_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         counts = found.select("change_id", "part", F.size("hunks").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         found = found.join(counts.drop("n"), ["change_id", "part"])
     else:
         found = found.withColumn("before", F.lit(0))
-    each = found.select("change_id", "before", F.posexplode("hunks").alias("at", "h")).select("change_id", (F.col("before") + F.col("at") + 1).cast("int").alias("hunk_seq"), "h.*")
+    each = found.select("change_id", "before", F.posexplode("hunks").alias("at", "h")).select("change_id", (F.col("before") + F.col("at") + 1).cast("int").alias("hunk_seq"), "h.*").withColumn("header", F.substring_index("diff_text", "\n", 1))
     start = F.greatest(F.lit(1), F.regexp_extract("header", T.HUNK, 1).cast("int"))
     length = F.coalesce(F.nullif(F.regexp_extract("header", T.HUNK, 2), F.lit("")).cast("int"), F.lit(1))
-    return keep_paths(each.select("change_id", "hunk_seq", T.relative_path(F.col("path"), root).alias("file_path"), start.alias("start_line"), F.greatest(start, start + length - 1).alias("end_line"), "diff_text"))
+    return keep_paths(each.select("change_id", "hunk_seq", "file_path", start.alias("start_line"), F.greatest(start, start + length - 1).alias("end_line"), "diff_text"))
 
 
 def keep_paths(hunks: DataFrame) -> DataFrame:
@@ -63,23 +70,31 @@ def keep_paths(hunks: DataFrame) -> DataFrame:
     return hunks.where(path.isNotNull() & (path != "") & ~path.startswith("/") & ~F.lower(path).endswith(".md"))
 
 
-def _walk(hunks: DataFrame, *more: str) -> DataFrame:
-    """Lines of hunks with the new side's line number at each."""
-    each = hunks.select("change_id", "hunk_seq", *more, F.posexplode(T.lines(F.col("diff_text"))).alias("pos", "line"))
-    line = F.col("line")
-    header = line.rlike(T.HUNK) & (F.col("pos") == 0)
-    file_mark = line.startswith("+++") | line.startswith("---")
-    moves = ~header & ~file_mark & (line.startswith("+") | line.startswith(" "))
-    here = Window.partitionBy("change_id", "hunk_seq").orderBy("pos")
-    first = F.first(F.when(F.col("pos") == 0, F.regexp_extract("line", T.HUNK, 1).cast("int")), ignorenulls=True).over(here)
-    before = F.coalesce(F.sum(moves.cast("int")).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return each.withColumns({"header": header, "file_mark": file_mark, "added": moves & line.startswith("+"), "number": (first + before).cast("int")})
+def _is_header(m: Column) -> Column:
+    return (m["pos"] == 0) & m["line"].rlike(T.HUNK)
+
+
+def _is_mark(m: Column) -> Column:
+    return m["line"].startswith("+++") | m["line"].startswith("---")
+
+
+def _some_lines(hunks: DataFrame, chosen: Callable[[Column], Column], *more: str) -> DataFrame:
+    """The chosen lines of hunks, each with its place ``pos`` in the hunk and ``rank``, how many chosen ones stand before it; found in the row, so nothing is shuffled."""
+    placed = F.transform(T.lines(F.col("diff_text")), lambda line, i: F.struct(i.alias("pos"), line.alias("line")))
+    each = hunks.select("change_id", "hunk_seq", *more, F.posexplode(F.filter(placed, chosen)).alias("rank", "m"))
+    return each.select("change_id", "hunk_seq", *more, "rank", "m.*")
+
+
+def _added(hunks: DataFrame, *more: str) -> DataFrame:
+    """Added lines of hunks with their number on the new side: the lines of that side before one are what counts."""
+    begun = hunks.withColumn("first", F.regexp_extract(F.get(T.lines(F.col("diff_text")), F.lit(0)), T.HUNK, 1).cast("int"))
+    side = _some_lines(begun, lambda m: ~_is_header(m) & ~_is_mark(m) & (m["line"].startswith("+") | m["line"].startswith(" ")), "first", *more)
+    return side.where(F.col("line").startswith("+")).withColumn("number", (F.col("first") + F.col("rank")).cast("int"))
 
 
 def added_lines(hunks: DataFrame) -> DataFrame:
     """``change_id, hunk_seq, file_path, pos, line_number, text`` of each added line."""
-    walked = _walk(hunks, "file_path").where("added")
-    return walked.select("change_id", "hunk_seq", "file_path", "pos", F.col("number").alias("line_number"), F.substr("line", F.lit(2)).alias("text"))
+    return _added(hunks, "file_path").select("change_id", "hunk_seq", "file_path", "pos", F.col("number").alias("line_number"), F.substr("line", F.lit(2)).alias("text"))
 
 
 def filter_hunks(hunks: DataFrame, keep: DataFrame, include_removed: bool) -> DataFrame:
@@ -89,10 +104,9 @@ def filter_hunks(hunks: DataFrame, keep: DataFrame, include_removed: bool) -> Da
     """
     key = ["change_id", "hunk_seq"]
     keep = keep.select(*key, "part", F.col("line_number").alias("number")).distinct()
-    walked = _walk(hunks).select(*key, "pos", "line", "header", "file_mark", "added", "number")
-    fixed = F.col("header") | F.col("file_mark") | (F.col("line").startswith("-") if include_removed else F.lit(False))
-    whole = walked.where(fixed).join(keep.select(*key, "part").distinct(), key).select(*key, "part", "pos", "line")
-    chosen = walked.where(~fixed & F.col("added")).join(keep, [*key, "number"]).select(*key, "part", "pos", "line")
+    fixed = _some_lines(hunks, lambda m: _is_header(m) | _is_mark(m) | (m["line"].startswith("-") if include_removed else F.lit(False)))
+    whole = fixed.join(keep.select(*key, "part").distinct(), key).select(*key, "part", "pos", "line")
+    chosen = _added(hunks).join(keep, [*key, "number"]).select(*key, "part", "pos", "line")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     return whole.unionByName(chosen).groupBy(*key, "part").agg(text.alias("diff_text"))
 

@@ -46,6 +46,22 @@ def test_hunks_are_parsed_in_their_row(spark):
     assert parse_hunks(long).where("hunk_seq = 20000 and length(diff_text) > 300000").count() == 1 and time.time() - began < 30
 
 
+def test_added_lines_are_numbered_in_their_row(spark):
+    """Context moves the new side's number, removed lines and file marks do not; nothing is shuffled."""
+    text = "@@ -3,2 +7,3 @@\n a\n-b\n+c\n+++ x\n--- y\n+d\r\n+"
+    some = added_lines(spark.createDataFrame([(1, 1, "a.py", text), (1, 2, "a.py", "@@ -1 +0,0 @@\n-z")], "change_id long, hunk_seq int, file_path string, diff_text string"))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert sorted((r.hunk_seq, r.pos, r.line_number, r.text) for r in some.collect()) == [(1, 3, 8, "c"), (1, 6, 9, "d"), (1, 7, 10, "")]
+
+
+def test_a_report_reads_its_steps_once(spark):
+    steps = spark.range(5).selectExpr("id % 2 as change_id", "cast(id as int) as position", "'s' as step_id", "'background' as step_type", "'a.py' as file_path", "1 as start_line", "2 as end_line", "'' as explanation", "string(null) as change_kind", "string(null) as definition_name", "string(null) as definition_type", "string(null) as diff_text", "'L' as label")
+    assert store.report(steps)._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    body = "STEP s\nType: background\nFile: a.py\nRange: 1-2\nLabel: L\nExplanation:\n(empty)\n---"
+    assert {r.change_id: r.report for r in store.report(steps).collect()} == {0: "\n".join(["Steps: 3\n", *[body] * 3]), 1: "\n".join(["Steps: 2\n", *[body] * 2])}
+
+
 def test_strings_of_a_megabyte_on_an_executor(spark):
     """No pattern may need a stack frame per character: an overflow ends the whole process."""
     shapes = ['"' + "a" * 1_000_000 + '"', '"' + '\\"' * 400_000, "'" + "\\x" * 400_000, '"' * 500_001, "f(" + "a." * 400_000 + "b)", "x" * 1_000_000]
