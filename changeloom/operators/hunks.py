@@ -87,7 +87,7 @@ def _some_lines(hunks: DataFrame, chosen: Callable[[Column], Column], *more: str
 
 def _added(hunks: DataFrame, *more: str) -> DataFrame:
     """Added lines of hunks with their number on the new side: the lines of that side before one are what counts."""
-    begun = hunks.withColumn("first", F.regexp_extract(F.get(T.lines(F.col("diff_text")), F.lit(0)), T.HUNK, 1).cast("int"))
+    begun = hunks.withColumn("first", F.regexp_extract(F.substring_index("diff_text", "\n", 1), T.HUNK, 1).cast("int"))
     side = _some_lines(begun, lambda m: ~_is_header(m) & ~_is_mark(m) & (m["line"].startswith("+") | m["line"].startswith(" ")), "first", *more)
     return side.where(F.col("line").startswith("+")).withColumn("number", (F.col("first") + F.col("rank")).cast("int"))
 
