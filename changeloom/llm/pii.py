@@ -324,8 +324,8 @@ def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text_col:
     never share one, and none is a value of the corpus, but for listed given and family names, which are permuted within their list. A null text stays null and an empty one empty;
     null ids and repeated rows stay. A column named as an added one is replaced.
 
-    Surrogates are computed where the text is read. Only values that collided are joined in, by document; adaptive
-    execution broadcasts them while they are few.
+    Surrogates are computed where the text is read. Only values that collided are joined in, by document, from a written
+    table, so that its true size is known before any text moves: texts are shuffled only where it is too large to broadcast.
     """
     secret = hashlib.sha256(key.encode()).digest()
     df = df.select(*[c for c in df.columns if c not in ("n_entities", "entities")])
@@ -333,7 +333,7 @@ def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text_col:
     pairs = keyed.select("__row", F.col(text_col).cast("string").alias("text"))
     mentions = materialize(pairs.mapInArrow(partial(_mentions, key=secret), "doc_id long, kind string, value string, surrogate string"))
     other = collisions(mentions, secret)
-    by_row = mentions.drop("surrogate").join(other, ["kind", "value"]).groupBy(F.col("doc_id").alias("__row")).agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("__other"))
+    by_row = materialize(mentions.drop("surrogate").join(other, ["kind", "value"]).groupBy(F.col("doc_id").alias("__row")).agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("__other")))
     work = keyed.join(by_row, "__row", "left").select(*df.columns, "__other")
     schema = df.withColumn(text_col, F.col(text_col).cast("string")).withColumn("n_entities", F.lit(0).cast("long")).withColumn("entities", F.lit("")).schema
     names = [f.name for f in schema]

@@ -138,3 +138,19 @@ def test_edges(spark):
     assert new != "me@x.org"
     assert got == [(0, 0, ""), (0, 1, new), (1, 0, ""), (2, 0, ""), *[(3, 20_000, (new + " ") * 20_000)] * 2]
     assert replace_entities(df.limit(0), "key").count() == 0
+
+
+@pytest.mark.parametrize("collided", [False, True])
+def test_texts_stay_where_few_values_collide(spark, collided):
+    """The mentions are more than may be broadcast; what collided is less, and its size is known before the texts move."""
+    rows = [(i, f"person{i}.of.some.length@example{i}.com" if i or not collided else "0@x.com 1@x.com 2@x.com 3@x.com 4@x.com 5@x.com 6@x.com 7@x.com 8@x.com 9@x.com") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        got = replace_entities(df, "key")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert got.where("n_entities > 0").count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
