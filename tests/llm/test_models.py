@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from changeloom.llm.quality import Forest, Judge, fit as fit_quality, judge_documents, keep_good
+from changeloom.llm.quality import Forest, Judge, _expected, base_failed, features, fit as fit_quality, judge_documents, keep_good, statistics_of, threshold_of
 from changeloom.llm.toxicity import fit as fit_toxicity, score_documents
 
 SF = "/root/testdata/sf0.1"
@@ -79,6 +79,49 @@ def test_quality_separates(tables):
     assert rest[0, False] / max(1, rest[0, True] + rest[0, False]) > 0.9
 
 
+def plain_threshold(score, good):
+    cuts = np.unique(score)
+    caught = [(score[~good] > c).mean() if (score[good] <= c).mean() >= 0.995 else -1.0 for c in cuts]
+    at = max(k for k, c in enumerate(caught) if c == max(caught))
+    return (cuts[at] + (cuts[at + 1] if at + 1 < len(cuts) else 1.0)) / 2
+
+
+def test_quality_is_fitted_on_every_row(spark):
+    """A leaf's path holds the count of all documents in it, and the threshold is that of all labels."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judge = fit_quality(docs, labels)
+    table = docs.select("doc_id", "text").toArrow().combine_chunks()
+    stats = statistics_of(table.column("text").combine_chunks())
+    rest = ~base_failed(stats)
+    x, ids = features(stats)[rest], np.array(table.column("doc_id"))[rest]
+    assert judge.forest.scale == _expected(len(x)) and len(x) > 256
+    for feature, cut, left, right, path in judge.forest.trees[:10]:
+        open_nodes = [(0, 0, np.arange(len(x)))]
+        while open_nodes:
+            node, depth, own = open_nodes.pop()
+            assert path[node] == depth + _expected(len(own)) and len(own)
+            if left[node] != node:
+                side = x[own, feature[node]] <= cut[node]
+                open_nodes += [(left[node], depth + 1, own[side]), (right[node], depth + 1, own[~side])]
+            else:
+                assert depth == 8 or (x[own] == x[own[0]]).all()
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    known = np.array([i in quality for i in ids])
+    good = np.array([quality[i] != 0 for i in ids[known]])
+    assert np.isclose(judge.threshold, plain_threshold(judge.forest.score(x[known]), good), rtol=0, atol=1e-15)
+
+
+def test_threshold_against_all_cuts(spark):
+    rng = np.random.default_rng(8)
+    for n, share in ((3000, 0.1), (800, 0.5), (2, 0.5), (400, 0.02)):
+        good = rng.random(n) >= share
+        good[:2] = True, False
+        score = np.round(np.where(good, rng.beta(2, 9, n), rng.beta(4, 4, n)), 3)
+        df = spark.createDataFrame([(float(s), int(g), int(not g)) for s, g in zip(score, good, strict=True)], "score double, n_good long, n_bad long")
+        assert threshold_of(df) == plain_threshold(score, good)
+
+
 def held_out(docs, labels):
     some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     return score_documents(some, fit_toxicity(docs, labels)).where("held_out").join(labels, "doc_id").toPandas()
