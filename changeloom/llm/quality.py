@@ -22,7 +22,6 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_marks", "n_digits"]
 #: Usual shares, and how far beyond them counts: symbols, copied lines, repeated words, capitals, marks, digits, and word length's distance from 6.
 USUAL, BEYOND = (0.05, 0.15, 0.25, 0.25, 0.2, 0.15, 3.0), (0.3, 0.4, 0.4, 0.4, 0.4, 0.4, 4.0)
-_STATS = "doc_id long, " + ", ".join(f"{c} long" for c in BASE + MORE)
 SHAPE = [f"f{k}" for k in range(len(USUAL))]
 LOW, HIGH = [f"low{k}" for k in range(len(USUAL))], [f"high{k}" for k in range(len(USUAL))]
 _SHAPED = "doc_id long, " + ", ".join(f"{c} double" for c in SHAPE)
@@ -153,8 +152,11 @@ def _columns(part: pa.RecordBatch, first: int, n: int) -> np.ndarray:
 
 
 def _shaped(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of the texts that pass the base rule."""
     for part in parts:
-        yield rows(_SHAPED, part.column(0), *features(_columns(part, 1, len(BASE + MORE))).T)
+        stats = statistics_of(part.column(1))
+        passed = ~base_failed(stats)
+        yield rows(_SHAPED, part.column(0).filter(pa.array(passed)), *features(stats[passed]).T)
 
 
 def _extents(parts: Iterator[pa.RecordBatch], trees: list[tuple], depth: int) -> Iterator[pa.RecordBatch]:
@@ -237,12 +239,6 @@ def threshold_of(scored: DataFrame) -> float | None:
     return float((cut + (1.0 if above is None else above)) / 2)
 
 
-def _measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        stats = statistics_of(part.column(1))
-        yield rows(_STATS, part.column(0), *stats.T)
-
-
 def _verdicts(parts: Iterator[pa.RecordBatch], judge: Judge, schema: str) -> Iterator[pa.RecordBatch]:
     for part in parts:
         stats = statistics_of(part.column(1))
@@ -262,8 +258,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     marked = marked.groupBy("doc_id").agg(F.max("good").cast("long").alias("good"))
     if marked.select("good").distinct().count() < 2:
         return Judge(None, 1.0)
-    stats = _pair(df, id_col, text_col).mapInArrow(_measure, _STATS)
-    rest = materialize(stats.where(f"n_words >= {LEAST_WORDS} and 100 * n_repeat_words <= {MOST_REPEATED} * n_words").mapInArrow(_shaped, _SHAPED))
+    rest = materialize(_pair(df, id_col, text_col).mapInArrow(_shaped, _SHAPED))  # one step: each that follows another would keep a Python worker of its own for every core
     shapes = materialize(rest.groupBy(*SHAPE).agg(F.count("*").alias("n")))
     forest = grown(shapes)
     known = rest.join(marked, "doc_id").groupBy(*SHAPE).agg(F.sum("good").alias("n_good"), F.sum(1 - F.col("good")).alias("n_bad"))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import changeloom.llm.quality as quality_rules
 from changeloom.llm.quality import Forest, Judge, _expected, base_failed, features, fit as fit_quality, judge_documents, keep_good, statistics_of, threshold_of
 from changeloom.llm.toxicity import fit as fit_toxicity, score_documents
 
@@ -112,6 +113,16 @@ def test_quality_is_fitted_on_every_row(spark):
     assert np.isclose(judge.threshold, plain_threshold(judge.forest.score(x[known]), good), rtol=0, atol=1e-15)
 
 
+def test_quality_fit_needs_one_python_worker_a_core(spark, monkeypatch):
+    """Python steps that follow one another in a task keep a worker each, for every core of an executor."""
+    plans = []
+    write = quality_rules.materialize
+    monkeypatch.setattr(quality_rules, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    fit_quality(read("documents"), read("labels"))
+    assert [p.count("MapInArrow") for p in plans] == [1, 0, 1]
+
+
 def test_threshold_against_all_cuts(spark):
     rng = np.random.default_rng(8)
     for n, share in ((3000, 0.1), (800, 0.5), (2, 0.5), (400, 0.02)):
