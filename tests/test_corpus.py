@@ -18,3 +18,16 @@ def test_the_corpus_writes_less_than_it_reads(spark):
     assert c.diffs().where("diff_text like '%@@%'").count() > 1000
     assert c.fx("fx_hunks").where("hunk_text is null").count() == 0
     assert written(spark) - before < sum(os.path.getsize(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
+
+
+def test_a_reference_is_moved_once_a_step_and_a_definition_is_its_own_node(spark):
+    from changeloom.operators import graph
+
+    refs = spark.createDataFrame([(1, "a", "u", "definition", "f", "C.f"), (1, "a", "u", "definition", "f", "D.f"), (1, "a", "u", "definition", "g", None), (1, "a", "u", "definition", "no", None)], "change_id long, file_path string, user string, kind string, name string, qualified_name string")
+    ends = spark.createDataFrame([(1, "a", "n1", "f", "C.f"), (1, "a", "n2", "f", "f"), (1, "b", "n3", "g", "g")], "change_id long, file_path string, node_id string, label string, qualified_name string")
+    found = graph.resolve_references(refs, ends)
+    assert sorted(r.node_id for r in found.collect()) == ["n1", "n1", "n2", "n3"]
+    assert "LeftAnti" not in found._jdf.queryExecution().toString()
+    step = "change_id long, file_path string, step_id string, position int, change_kind string, definition_name string, qualified_name string, symbol_name string, container_name string, element_kind string, start_line int, end_line int, segment_id string, is_overall boolean"
+    some = spark.createDataFrame([(1, "a", "main-1", 1, "definition", "f", "f", None, None, "function", 1, 2, None, False)], step)
+    assert [(r.node_id, r.idx, r.label, [s.id for s in r.steps]) for r in graph.nodes(some).collect()] == [("main-1", 0, "f", ["main-1"])]
