@@ -31,3 +31,34 @@ def test_a_reference_is_moved_once_a_step_and_a_definition_is_its_own_node(spark
     step = "change_id long, file_path string, step_id string, position int, change_kind string, definition_name string, qualified_name string, symbol_name string, container_name string, element_kind string, start_line int, end_line int, segment_id string, is_overall boolean"
     some = spark.createDataFrame([(1, "a", "main-1", 1, "definition", "f", "f", None, None, "function", 1, 2, None, False)], step)
     assert [(r.node_id, r.idx, r.label, [s.id for s in r.steps]) for r in graph.nodes(some).collect()] == [("main-1", 0, "f", ["main-1"])]
+
+
+def test_logs_hold_many_change_sets(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from changeloom.sources import store
+
+    texts = {k: f"diff --git a/f{k}.py b/f{k}.py\n--- a/f{k}.py\n+++ b/f{k}.py\n@@ -1 +1 @@\n+commit {k}\n" + "+x\n" * (k % 7) for k in range(1, 501)}
+    store.write_logs(spark.createDataFrame(list(texts.items()), "change_id long, diff_text string").repartition(3), str(tmp_path / "logs"))
+    assert len(list((tmp_path / "logs").glob("*.txt"))) <= 3
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        read = store.read_logs(spark, str(tmp_path / "logs"))
+        assert read.rdd.getNumPartitions() > 8
+        assert {r.change_id: r.diff_text for r in read.collect()} == texts
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "one.txt").write_bytes(b"preamble\ncommit 7\r\ndiff --git a/a b/a\r\n+x")
+    assert [tuple(r) for r in store.read_logs(spark, str(tmp_path / "one.txt")).collect()] == [(7, "diff --git a/a b/a\r\n+x\n")]
+
+
+def test_files_of_diffs_are_fewer_than_change_sets(spark):
+    import glob
+
+    from changeloom.plans.queries import QUERIES
+
+    top = f"{shared_folder(spark).removeprefix('file:')}/diffs"
+    before = set(glob.glob(f"{top}/**/*.txt", recursive=True))
+    found = QUERIES["hunks_of_files"](spark, SF)
+    assert found.select("change_id").distinct().count() > 10 * len(set(glob.glob(f"{top}/**/*.txt", recursive=True)) - before) > 0
