@@ -62,3 +62,34 @@ def test_files_of_diffs_are_fewer_than_change_sets(spark):
     before = set(glob.glob(f"{top}/**/*.txt", recursive=True))
     found = QUERIES["hunks_of_files"](spark, SF)
     assert found.select("change_id").distinct().count() > 10 * len(set(glob.glob(f"{top}/**/*.txt", recursive=True)) - before) > 0
+
+
+def test_hunks_are_parsed_once_for_steps_and_stores(spark):
+    from changeloom.plans.queries import QUERIES
+
+    for name in ("stored_explanations", "missing_explanations", "gated_explanations", "filtered_hunks"):
+        assert "diff --git" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_that_are_no_headers_are_moved_without_their_texts(spark):
+    import pandas as pd
+
+    from changeloom.operators import ranges
+
+    text = ["def a(x):", "　y = 1", "\té = 2", "  ", "", "\x1c\x1cclass B:", "        async def c(self):", "            return 'x'", "    # defined", "é = 3", "class D:", "  pass"]
+    lines = [(1, "a.py", k, t) for k, t in enumerate(text, 1)]
+    want = pd.concat(ranges._read_headers(iter([pd.DataFrame(lines)])))
+    found = ranges.header_ranges(spark.createDataFrame(lines, "change_id long, file_path string, line_number int, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want.itertuples(index=False, name=None))
+    assert "[^!-~]" in found._jdf.queryExecution().toString()
+
+
+def test_the_walk_of_python_sees_what_a_plain_walk_sees():
+    import ast
+
+    from changeloom.operators import source
+
+    text = "@d(1)\nclass A(f(2), k=g()):\n    x: h() = [i(y) for y in j() if k(y)]\n    async def m(self, a=n()) -> o():\n        with p() as q: r(**s())\n        match t():\n            case {'a': u.V()}: w(f'{z(1)}')\n        return lambda: -aa() + bb().cc\n"
+    seen = [(n.lineno, ast.unparse(n.func)) for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Call)]
+    assert sorted((r[5], r[2]) for r in source._python(text) if r[0] == "call") == sorted(seen)
+    assert [r[2] for r in source._python(text) if r[0] == "definition"] == ["A", "m"]
